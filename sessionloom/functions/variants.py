@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,5 +49,23 @@ def shown(value: Column) -> Column:
 
 
 def items(value: Column, path: str) -> Column:
-    """The elements of an array field; an empty array when the field is no array."""
-    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    """The elements of an array field; NULL when the field is no array."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def content_text(value: Column, path: str, block: Callable[[Column], Column], keep_empty: bool = True) -> Column:
+    """Message content as text: block texts joined by line breaks, a string as it is.
+
+    `block` gives the text of one element or NULL to leave it out. The array test
+    comes first because naming the type of a value walks all of it.
+    """
+    whole = field(value, path)
+    parts = F.array_compact(F.transform(items(value, path), block))
+    if not keep_empty:
+        parts = F.filter(parts, lambda part: part != "")
+    return (
+        F.when(whole.isNull(), F.lit(""))
+        .when(items(value, path).isNotNull(), F.array_join(parts, "\n"))
+        .when(is_string(whole), whole.cast("string"))
+        .otherwise(shown(whole))
+    )

@@ -32,7 +32,7 @@ def lookup(
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     salted = left.withColumn("_salt", F.when(no_key, hashed).otherwise(F.pmod(hashed, F.lit(salts))))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

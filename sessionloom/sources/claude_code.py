@@ -17,8 +17,6 @@ def _role(v: Column) -> Column:
 
 
 def block_text(v: Column) -> Column:
-    content = V.field(v, "$.message.content")
-
     def shown(block: Column) -> Column:
         kind = V.string(block, "$.type")
         return (
@@ -27,13 +25,7 @@ def block_text(v: Column) -> Column:
             .when(kind == "tool_result", F.lit("[Tool Result]"))
         )
 
-    joined = F.array_join(F.array_compact(F.transform(V.items(v, "$.message.content"), shown)), "\n")
-    return (
-        F.when(content.isNull(), F.lit(""))
-        .when(V.is_string(content), content.cast("string"))
-        .when(V.is_array(content), joined)
-        .otherwise(V.shown(content))
-    )
+    return V.content_text(v, "$.message.content", shown)
 
 
 def tool_mark(name: Column) -> Column:

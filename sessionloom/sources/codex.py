@@ -20,8 +20,7 @@ _UUID = r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 
 def _node(v: Column) -> Column:
     """The object that carries role and content: the line itself or its payload."""
-    payload = V.field(v, "$.payload")
-    return F.when(V.field(v, "$.role").isNull() & V.is_object(payload), payload).otherwise(v)
+    return F.when(V.field(v, "$.role").isNull(), V.field(v, "$.payload")).otherwise(v)
 
 
 def _role(v: Column) -> Column:
@@ -30,23 +29,12 @@ def _role(v: Column) -> Column:
 
 
 def block_text(v: Column) -> Column:
-    def text_of(node: Column) -> Column:
-        content = V.field(node, "$.content")
-
-        def shown(block: Column) -> Column:
-            return F.when(V.is_string(block), block.cast("string")).when(
-                V.string(block, "$.type").isin(*TEXT_BLOCKS), F.coalesce(V.shown(V.field(block, "$.text")), F.lit(""))
-            )
-
-        joined = F.array_join(F.array_compact(F.transform(V.items(node, "$.content"), shown)), "\n")
-        return (
-            F.when(content.isNull(), F.lit(""))
-            .when(V.is_string(content), content.cast("string"))
-            .when(V.is_array(content), joined)
-            .otherwise(V.shown(content))
+    def shown(block: Column) -> Column:
+        return F.when(V.is_string(block), block.cast("string")).when(
+            V.string(block, "$.type").isin(*TEXT_BLOCKS), F.coalesce(V.shown(V.field(block, "$.text")), F.lit(""))
         )
 
-    return let(_node(v), text_of)
+    return let(_node(v), lambda node: V.content_text(node, "$.content", shown))
 
 
 def find_cwd(v: Column, raw: Column) -> Column:
@@ -104,14 +92,16 @@ def parent_thread(v: Column) -> Column:
     )
 
 
-def _header(v: Column) -> Column:
+def _header(v: Column, raw: Column) -> Column:
     body = F.when(V.is_object(V.field(v, "$.payload")), V.field(v, "$.payload")).otherwise(v)
-    return let(
+    full = let(
         session_class(V.field(body, "$.source")),
         lambda kind: header(
             accepted=kind != "drop", task=kind == "task", parent=F.when(kind == "task", parent_thread(v))
         ),
     )
+    # Only a line with a source tag can say anything but the default.
+    return F.when(raw.contains("source"), full).otherwise(header())
 
 
 def discover(files: DataFrame, root: str) -> DataFrame:

@@ -20,30 +20,21 @@ def _role(v: Column) -> Column:
 
 def block_text(v: Column) -> Column:
     """Content of the message object, or of the line itself when there is none."""
-    nested = V.is_object(V.field(v, "$.message"))
-
-    def text_of(content: Column) -> Column:
-        def shown(block: Column) -> Column:
-            kind = V.string(block, "$.type")
-            name = F.coalesce(
-                F.nullif(V.string(block, "$.name"), F.lit("")), F.nullif(V.string(block, "$.toolName"), F.lit("")), F.lit("?")
-            )
-            return (
-                F.when(V.is_string(block), block.cast("string"))
-                .when(kind == "text", F.coalesce(V.shown(V.field(block, "$.text")), F.lit("")))
-                .when(kind == "tool_use", F.concat(F.lit("[Tool: "), name, F.lit("]")))
-            )
 
-        parts = F.array_compact(F.transform(V.items(content, "$"), shown))
+    def shown(block: Column) -> Column:
+        kind = V.string(block, "$.type")
+        name = F.coalesce(
+            F.nullif(V.string(block, "$.name"), F.lit("")), F.nullif(V.string(block, "$.toolName"), F.lit("")), F.lit("?")
+        )
         return (
-            F.when(content.isNull(), F.lit(""))
-            .when(V.is_string(content), content.cast("string"))
-            .when(V.is_array(content), F.array_join(F.filter(parts, lambda part: part != ""), "\n"))
-            .otherwise(V.shown(content))
+            F.when(V.is_string(block), block.cast("string"))
+            .when(kind == "text", F.coalesce(V.shown(V.field(block, "$.text")), F.lit("")))
+            .when(kind == "tool_use", F.concat(F.lit("[Tool: "), name, F.lit("]")))
         )
 
-    content = F.when(nested, V.field(v, "$.message.content")).otherwise(V.field(v, "$.content"))
-    return let(content, text_of)
+    nested = V.is_object(V.field(v, "$.message"))
+    holder = F.when(nested, V.field(v, "$.message")).otherwise(v)
+    return let(holder, lambda h: V.content_text(h, "$.content", shown, keep_empty=False))
 
 
 # A role line: the bare word, or a capitalized word, a colon and the first text.

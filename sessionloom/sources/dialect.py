@@ -36,7 +36,7 @@ class Dialect:
     opens: Callable[[Column, Column], Column]
     discover: Callable[[DataFrame, str], DataFrame]
     cwd: Callable[[Column, Column], Column] = lambda v, raw: F.lit(None).cast("string")
-    header: Callable[[Column], Column] = lambda v: header()
+    header: Callable[[Column, Column], Column] = lambda v, raw: header()
     header_required: bool = False
     attachments: Callable[..., DataFrame] | None = None
 
@@ -58,17 +58,18 @@ def read_events(decoded: DataFrame, dialect: Dialect) -> DataFrame:
     """One row per JSON object line: its message, if any, and what it adds to the session."""
     v, raw = F.col("v"), F.col("raw")
     keep = [F.col(c) for c in decoded.columns if c not in ("v", "raw", "source")]
-    with_message = decoded.select(
+    with_role = decoded.select(*keep, "raw", "v", dialect.role(v).alias("role"))
+    role = F.col("role")
+    return with_role.select(
         F.lit(dialect.id).alias("source"),
         *keep,
-        dialect.role(v).alias("role"),
-        dialect.counts(v, dialect.role(v)).alias("counts"),
-        dialect.opens(v, dialect.role(v)).alias("opens"),
+        role,
+        F.when(role.isNotNull(), dialect.text(v)).alias("text"),
+        dialect.counts(v, role).alias("counts"),
+        dialect.opens(v, role).alias("opens"),
         dialect.cwd(v, raw).alias("cwd"),
-        dialect.header(v).alias("header"),
-        v,
+        dialect.header(v, raw).alias("header"),
     )
-    return with_message.withColumn("text", F.when(F.col("role").isNotNull(), dialect.text(F.col("v")))).drop("v")
 
 
 def messages(events: DataFrame) -> DataFrame:

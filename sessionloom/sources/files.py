@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import strip
-from sessionloom.functions.variants import is_object
 
 # A JSON string past 16 MiB does not parse; such lines are reported, not lost.
 LONGEST_LINE = 16 * 1024 * 1024
@@ -79,27 +78,31 @@ def lossy_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def _classified(lines: DataFrame) -> DataFrame:
-    clean = strip(F.col("raw"))
-    # The leading brace spares the parser every line that cannot be an object.
-    candidate = F.when(clean.startswith("{") & clean.endswith("}"), F.try_parse_json(clean))
-    return lines.where(clean != "").withColumn("v", candidate)
+def _parsed(raw: Column) -> Column:
+    """The line as VARIANT. What parses and starts with a brace is an object;
+    the brace also spares the parser every other line."""
+    clean = strip(raw)
+    return F.when(clean.startswith("{") & clean.endswith("}"), F.try_parse_json(clean))
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
-    """Adds `v`, the JSON object of each line; blank lines and anything else are left out."""
-    return _classified(lines).where(F.col("v").isNotNull() & is_object(F.col("v")))
+    """Adds `v`, the JSON object of each line; blank lines and anything else are left out.
+
+    The object comes out of a generator: filters on it stay above, where a plain
+    column would be substituted into them and every line parsed once per filter.
+    """
+    return lines.select("*", F.explode(F.array_compact(F.array(_parsed(F.col("raw"))))).alias("v"))
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
     """Lines that hold text but no usable object, with the reason."""
+    clean = strip(F.col("raw"))
     reason = (
         F.when(F.length("raw") > LONGEST_LINE, "too long")
-        .when(strip(F.col("raw")).startswith("{"), "not parsable")
+        .when(clean.startswith("{"), "not parsable")
         .otherwise("not an object")
     )
-    rejected = _classified(lines).where(F.col("v").isNull() | ~is_object(F.col("v")))
-    return rejected.withColumn("reason", reason).drop("v")
+    return lines.where((clean != "") & _parsed(F.col("raw")).isNull()).withColumn("reason", reason)
 
 
 def split_lines(texts: DataFrame, text: str = "text") -> DataFrame:

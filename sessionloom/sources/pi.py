@@ -25,8 +25,6 @@ def _named_role(v: Column) -> Column:
 
 
 def block_text(v: Column) -> Column:
-    content = V.field(v, "$.message.content")
-
     def shown(block: Column) -> Column:
         kind = V.string(block, "$.type")
         return (
@@ -37,13 +35,7 @@ def block_text(v: Column) -> Column:
             .when(kind == "image", F.lit("[image]"))
         )
 
-    joined = F.array_join(F.array_compact(F.transform(V.items(v, "$.message.content"), shown)), "\n")
-    return (
-        F.when(content.isNull(), F.lit(""))
-        .when(V.is_string(content), content.cast("string"))
-        .when(V.is_array(content), joined)
-        .otherwise(V.shown(content))
-    )
+    return V.content_text(v, "$.message.content", shown)
 
 
 def short_id(stem: Column) -> Column:
@@ -51,15 +43,15 @@ def short_id(stem: Column) -> Column:
     return F.regexp_replace(stem, r"^[^_]*_", "")
 
 
-def _header(v: Column) -> Column:
+def _header(v: Column, raw: Column) -> Column:
     forked = F.nullif(V.string(v, "$.parentSession"), F.lit(""))
-    return header(
-        accepted=F.coalesce(V.string(v, "$.type") == "session", F.lit(False)),
+    full = header(
         task=forked.isNotNull(),
         id=F.nullif(V.string(v, "$.id"), F.lit("")),
         parent=short_id(path_stem(forked)),
         cwd=F.nullif(V.string(v, "$.cwd"), F.lit("")),
     )
+    return F.when(V.string(v, "$.type") == "session", full).otherwise(header(accepted=F.lit(False)))
 
 
 def discover(files: DataFrame, root: str) -> DataFrame:
