@@ -78,23 +78,41 @@ def redact_home_paths(text: Column, stoplist: Iterable[str] = ()) -> Column:
     return _replace_counted(text, likely, _home_path(kept_logins(stoplist)), "$1[USER]")
 
 
-def redact_username(text: Column, name: str) -> Column:
-    regex = rf"(?<![A-Za-z0-9_])\Q{name}\E(?![A-Za-z0-9_])"
-    return _replace_counted(text, text.contains(name), regex, USER)
+def _redact_names(found: Column, names: Sequence[str]) -> Column:
+    """Whole-word user names in the given order; a fold keeps the plan small for any number of names."""
+    table = F.array(
+        *[
+            F.struct(F.lit(n).alias("name"), F.lit(rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])").alias("regex"))
+            for n in names
+        ]
+    )
+
+    def step(state: Column, entry: Column) -> Column:
+        text = state["text"]
+        return F.when(
+            text.contains(entry["name"]),
+            F.struct(
+                F.regexp_replace(text, entry["regex"], F.lit(USER)).alias("text"),
+                (state["n"] + F.regexp_count(text, entry["regex"])).alias("n"),
+            ),
+        ).otherwise(state)
+
+    return F.aggregate(table, found, step)
 
 
 def redact_identity(text: Column, usernames: Sequence[str] = (), stoplist: Iterable[str] = ()) -> Column:
     """struct(text, n): home paths, then addresses, then bare user names, longest first."""
     stop = tuple(stoplist)
-    steps = [lambda t: redact_home_paths(t, stop), redact_emails]
-    steps += [lambda t, name=name: redact_username(t, name) for name in usable_usernames(usernames, stop)]
+    names = usable_usernames(usernames, stop)
 
-    def run(remaining, current: Column, total: Column) -> Column:
-        if not remaining:
-            return F.struct(current.alias("text"), total.alias("n"))
-        return let(remaining[0](current), lambda r: run(remaining[1:], r["text"], total + r["n"]))
+    def addresses(homes: Column) -> Column:
+        return let(
+            redact_emails(homes["text"]),
+            lambda m: F.struct(m["text"].alias("text"), (homes["n"] + m["n"]).alias("n")),
+        )
 
-    return run(steps, text, F.lit(0))
+    found = let(redact_home_paths(text, stop), addresses)
+    return _redact_names(found, names) if names else found
 
 
 def redact_text(

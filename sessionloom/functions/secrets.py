@@ -261,31 +261,29 @@ def mark_secrets(text: Column, patterns: Sequence[SecretPattern] = PATTERNS) ->
 def span_records(text: Column, spans: Column) -> Column:
     """The record kept per secret: code-point offsets into the original text."""
 
-    def build(raw: Column) -> Column:
+    def build(bound: Column) -> Column:
+        raw, found = bound["raw"], bound["spans"]
+
         def lengths(span: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(spans, i - 1)["b_stop"])
+            before = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(found, i - 1)["b_stop"])
             return F.struct(
                 F.length(_cut(raw, before, span["b_start"])).cast("bigint").alias("gap"),
                 F.length(_cut(raw, span["b_start"], span["b_stop"])).cast("bigint").alias("own"),
+                span["kind"].alias("kind"),
             )
 
         def place(sizes: Column) -> Column:
             base = exclusive_scan(F.transform(sizes, lambda z: z["gap"] + z["own"]), 0, lambda a, b: a + b)
-            return let(
-                base,
-                lambda b: F.transform(
-                    spans,
-                    lambda s, i: F.struct(
-                        s["kind"].alias("kind"),
-                        (b[i] + sizes[i]["gap"]).alias("start"),
-                        (b[i] + sizes[i]["gap"] + sizes[i]["own"]).alias("stop"),
-                        sizes[i]["own"].alias("original_length"),
-                    ),
+            return F.zip_with(
+                sizes, base,
+                lambda z, b: F.struct(
+                    z["kind"].alias("kind"),
+                    (b + z["gap"]).alias("start"),
+                    (b + z["gap"] + z["own"]).alias("stop"),
+                    z["own"].alias("original_length"),
                 ),
             )
 
-        return let(F.transform(spans, lengths), place)
+        return let(F.transform(found, lengths), place)
 
-    return F.when(F.size(spans) > 0, let(text.cast("binary"), build)).otherwise(
-        F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,original_length:bigint>>")
-    )
+    return let(F.struct(text.cast("binary").alias("raw"), spans.alias("spans")), build)

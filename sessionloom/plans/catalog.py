@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.identity import redact_text
-from sessionloom.plans import reading
+from sessionloom.plans import privacy, reading
 
-_PARTS = (reading,)
+_PARTS = (reading, privacy)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 
