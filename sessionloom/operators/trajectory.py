@@ -145,11 +145,8 @@ def result_identifiers(results: DataFrame, columns: tuple[str, ...] = ("content"
     level = level.select(*keys, F.explode(F.array_compact(F.array(_as_json(F.col("_text"))))).alias("_v"))
     found = None
     for _ in range(depth):
-        level.createOrReplaceTempView("_result_level")
-        opened = level.sparkSession.sql(
-            "SELECT r.session, r.step, r.call_id, e.key AS _key, e.value AS _v "
-            "FROM _result_level r, LATERAL variant_explode(r._v) e"
-        )
+        members = level.sparkSession.tvf.variant_explode(F.col("_v").outer())
+        opened = level.lateralJoin(members).select(*keys, F.col("key").alias("_key"), F.col("value").alias("_v"))
         name = F.regexp_replace(F.lower(F.col("_key")), "[^a-z0-9]", "")
         hits = opened.where(name.isin(*CHILD_FIELDS)).select(*keys, F.explode(_strings(F.col("_v"))).alias("identifier"))
         found = hits if found is None else found.unionByName(hits)

@@ -53,7 +53,7 @@ def project_rollup(spark: SparkSession, folder: str) -> DataFrame:
         _text("user_id").alias("project_id"), F.col("event_type").alias("source"), F.col("ts").alias("modified")
     )
     rolled = projects.harness_rollup(events)
-    return rolled.select("project_id", "source", "session_count", F.unix_micros("latest_modified").alias("latest"))
+    return rolled.select("project_id", "source", "session_count", F.unix_micros(F.col("latest_modified").cast("timestamp")).alias("latest"))
 
 
 def repository_roots(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +106,7 @@ def attach_pointers(spark: SparkSession, folder: str) -> DataFrame:
     talk = table(spark, folder, "conversations")
     name = F.concat_ws("-", "conv_id", "turn")
     raw = F.concat(
-        F.col("text"), F.lit(' saved to: /p/tool-results/'), name, F.lit('.txt" and (/p/tool-results/a/tool-results/b) '),
+        F.col("text"), F.lit(' saved to: /p/tool-results/'), name, F.lit('.txt" and </p/tool-results/a/tool-results/b> not (/p/tool-results/n '),
         F.lit("rel/tool-results/c /q/tasks/"), name, F.lit(".output,/q/tasks/"), name, F.lit(".log '/e/terminals/"), name,
         F.lit(".txt' /e/agent-tools/x/"), name,
     )
