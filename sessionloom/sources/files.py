@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,11 @@ def _reader(spark: SparkSession, recursive: bool, name_glob: str | None):
 
 
 def read_lines(
-    spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, name_glob: str | None = None
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    recursive: bool = False,
+    name_glob: str | None = None,
+    modified_since: datetime | None = None,
 ) -> DataFrame:
     """lines(path, seq, raw): text files line by line.
 
@@ -37,6 +42,9 @@ def read_lines(
     offset of the block a line was read from, then its position in that block.
     """
     lines = _reader(spark, recursive, name_glob).text(list(paths) if not isinstance(paths, str) else paths)
+    if modified_since is not None:
+        # A condition on file metadata alone is applied to the listing.
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(modified_since))
     return lines.select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.struct(
@@ -47,22 +55,32 @@ def read_lines(
 
 
 def read_texts(
-    spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, name_glob: str | None = None
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    recursive: bool = False,
+    name_glob: str | None = None,
+    modified_since: datetime | None = None,
 ) -> DataFrame:
-    """transcripts(path, content, size, modified): one row per file, bytes kept for hashing."""
-    raw = _binary(spark, paths, recursive, name_glob)
+    """transcripts(path, size, modified, content): one row per file, bytes kept for hashing."""
+    raw = _binary(spark, paths, recursive, name_glob, modified_since)
     return raw.select(*_inventory_columns(), F.col("content"))
 
 
 def file_inventory(
-    spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, name_glob: str | None = None
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    recursive: bool = False,
+    name_glob: str | None = None,
+    modified_since: datetime | None = None,
 ) -> DataFrame:
     """files(path, size, modified) without reading any content."""
-    return _binary(spark, paths, recursive, name_glob).select(*_inventory_columns())
+    return _binary(spark, paths, recursive, name_glob, modified_since).select(*_inventory_columns())
 
 
-def _binary(spark, paths, recursive, name_glob) -> DataFrame:
-    return _reader(spark, recursive, name_glob).format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+def _binary(spark, paths, recursive, name_glob, modified_since) -> DataFrame:
+    reader = _reader(spark, recursive, name_glob).format("binaryFile")
+    found = reader.load(paths if isinstance(paths, str) else list(paths))
+    return found if modified_since is None else found.where(F.col("modificationTime") >= F.lit(modified_since))
 
 
 def _inventory_columns() -> list[Column]:
