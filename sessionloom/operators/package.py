@@ -56,16 +56,14 @@ def still_as_hashed() -> Column:
 def redact_members(
     contents: DataFrame, salt: bytes, usernames: Sequence[str] = (), stoplist: Sequence[str] = ()
 ) -> DataFrame:
-    """members(session, member_name, text, redactions) from contents(session, member_name, content).
+    """members(session, member_name, text, redactions, …) from contents(session, member_name, content, …).
 
     Transcripts and attachments are redacted in the row they are read in.
     """
-    done = contents.select(
-        "session", "member_name", redact_text(lossy_text(F.col("content")), salt, usernames, stoplist).alias("r")
-    )
+    others = [c for c in contents.columns if c != "content"]
+    done = contents.select(*others, redact_text(lossy_text(F.col("content")), salt, usernames, stoplist).alias("r"))
     return done.select(
-        "session", "member_name", F.col("r.text").alias("text"),
-        (F.col("r.secrets") + F.col("r.identity")).alias("redactions"),
+        *others, F.col("r.text").alias("text"), (F.col("r.secrets") + F.col("r.identity")).alias("redactions")
     )
 
 

@@ -86,19 +86,26 @@ def _stream_hash(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def source_hashes(
     transcripts: DataFrame, attachments: DataFrame, children: DataFrame, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """source_hash per transcript.
+    """source_hash per transcript, from transcripts(session, content); see link_hashes.
 
-    transcripts(session, content), attachments(session, kind, path, arcname,
-    content_digest) with kept files only, children(session, child_id). The bytes
-    are digested where they are read and never shuffled.
+    The bytes are digested where they are read and never shuffled.
     """
     digests = transcripts.select("session", transcript_digest(F.col("content")).alias("digest"))
-    files = attachments.select(
-        "session", "kind", "path", attachment_payload(F.col("arcname"), F.col("content_digest")).alias("payload")
-    )
+    return link_hashes(digests, attachments, children, fold_limit)
+
+
+def link_hashes(
+    digests: DataFrame, attachments: DataFrame | None, children: DataFrame, fold_limit: int = FOLD_LIMIT
+) -> DataFrame:
+    """source_hash from digests(session, digest), attachments(session, kind, path,
+    arcname, content_digest) with kept files only, and children(session, child_id)."""
+    if attachments is not None:
+        files = attachments.select(
+            "session", "kind", "path", attachment_payload(F.col("arcname"), F.col("content_digest")).alias("payload")
+        )
+        digests = chain(digests, files, ["session"], ["kind", "path"], "attachments-v1", fold_limit)
     links = children.select("session", "child_id").distinct().withColumn("payload", child_payload(F.col("child_id")))
-    with_files = chain(digests, files, ["session"], ["kind", "path"], "attachments-v1", fold_limit)
-    linked = chain(with_files, links, ["session"], ["child_id"], "subagent-links-v1", fold_limit)
+    linked = chain(digests, links, ["session"], ["child_id"], "subagent-links-v1", fold_limit)
     return linked.select("session", F.col("digest").alias("source_hash"))
 
 

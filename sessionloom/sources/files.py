@@ -29,6 +29,17 @@ def _reader(spark: SparkSession, recursive: bool, name_glob: str | None):
     return reader
 
 
+def existing(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """The paths or globs that match anything; an agent that is not installed has no folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def matches(pattern: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        return len(path.getFileSystem(conf).globStatus(path) or []) > 0
+
+    return [p for p in ([paths] if isinstance(paths, str) else paths) if matches(p)]
+
+
 def read_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -41,7 +52,10 @@ def read_lines(
     A large file is read by many tasks. `seq` orders lines within a file: the
     offset of the block a line was read from, then its position in that block.
     """
-    lines = _reader(spark, recursive, name_glob).text(list(paths) if not isinstance(paths, str) else paths)
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "path string, seq struct<block:bigint,row:bigint>, raw string")
+    lines = _reader(spark, recursive, name_glob).text(there)
     if modified_since is not None:
         # A condition on file metadata alone is applied to the listing.
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(modified_since))
@@ -78,8 +92,10 @@ def file_inventory(
 
 
 def _binary(spark, paths, recursive, name_glob, modified_since) -> DataFrame:
-    reader = _reader(spark, recursive, name_glob).format("binaryFile")
-    found = reader.load(paths if isinstance(paths, str) else list(paths))
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp, content binary")
+    found = _reader(spark, recursive, name_glob).format("binaryFile").load(there)
     return found if modified_since is None else found.where(F.col("modificationTime") >= F.lit(modified_since))
 
 

@@ -38,9 +38,16 @@ class CorpusScan:
 
     `modified_since` limits every read to files changed at or after that time; the
     limit is applied to the file listing, so older files are not opened.
+
+    Spark's file sources do not list files without a byte. Where those matter, pass
+    an `inventory` of (path, size, modified), such as an object store's own: then
+    an empty file is an empty session.
     """
 
-    def __init__(self, spark: SparkSession, source: str, root: str, modified_since=None):
+    def __init__(
+        self, spark: SparkSession, source: str, root: str, modified_since=None, inventory: DataFrame | None = None
+    ):
+        self._inventory = inventory
         self.spark, self.root, self.dialect = spark, root.rstrip("/"), DIALECTS[source]
         layout = LAYOUTS[source]
         parent = self.root.rsplit("/", 1)[0]
@@ -49,19 +56,25 @@ class CorpusScan:
 
     def files(self) -> DataFrame:
         """files(path, size, modified), each file once even where two layouts name it."""
-        found = file_inventory(self.spark, self._where, **self._how)
-        return self.dialect.discover(found, self.root).select("path", "size", "modified").dropDuplicates(["path"])
+        found = self._inventory
+        if found is None:
+            found = file_inventory(self.spark, self._where, **self._how)
+        return self._inside(found).dropDuplicates(["path"])
+
+    def _inside(self, rows: DataFrame) -> DataFrame:
+        """Rows of files that lie where transcripts of the dialect lie."""
+        return self.dialect.discover(rows, self.root).select(*rows.columns)
 
     def lines(self) -> DataFrame:
         """lines(path, seq, raw) of JSON-line files; plain-text transcripts are read whole instead."""
-        lines = read_lines(self.spark, self._where, **self._how)
+        lines = self._inside(read_lines(self.spark, self._where, **self._how))
         if self.dialect.id == "cursor":
             lines = lines.where(F.lower(path_suffix(F.col("path"))) != ".txt")
         return lines
 
     def texts(self) -> DataFrame:
         """transcripts(path, size, modified, content) of every file of the dialect."""
-        return read_texts(self.spark, self._where, **self._how)
+        return self._inside(read_texts(self.spark, self._where, **self._how))
 
     def decoded(self) -> DataFrame:
         return decode_lines(self.lines())
@@ -85,10 +98,9 @@ class CorpusScan:
         if self.dialect.id != "cursor":
             return messages(read_events(self.decoded(), self.dialect))
         texts = self.texts().select("path", lossy_text(F.col("content")).alias("text"))
-        inside = self.dialect.discover(texts, self.root).select("path", "text")
-        every_line = read_lines(self.spark, self._where, **self._how)
+        every_line = self._inside(read_lines(self.spark, self._where, **self._how))
         spoken = messages(read_events(decode_lines(every_line), self.dialect))
-        turns = cursor.text_events(inside.where(~cursor.holds_json(F.col("text"))))
+        turns = cursor.text_events(texts.where(~cursor.holds_json(F.col("text"))))
         placed = turns.withColumn("seq", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("row")))
         return spoken.unionByName(placed.select(*spoken.columns))
 

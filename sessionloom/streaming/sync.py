@@ -87,7 +87,7 @@ def selected_sessions(plan: SyncPlan, all_sessions: DataFrame) -> DataFrame:
     described = lookup(labelled, links, ["project_id", "source", "id"], spread_by=["path"])
     if not plan.all_projects:
         known = merged.select(F.col("project_id").alias("identity"))
-        saved = plan.consent() if plan.consent else known.limit(0)
+        saved = plan.consent() if plan.consent else known.where(F.lit(False))
         described = consents.sessions_for_projects(described, consents.allowed_projects(known, saved))
     return st.references(described, plan.contributor)
 
@@ -107,17 +107,20 @@ def _file_snapshots(plan: SyncPlan, selected: DataFrame, attached: DataFrame | N
     return snapshot.snapshot_digest(own).select(F.col("session").alias("path"), F.col("file_snapshot").alias("file_snapshot_now"))
 
 
-def _hashes(plan: SyncPlan, wanted: DataFrame, links: DataFrame, attached: DataFrame | None) -> DataFrame:
-    """source_hash and snapshot per wanted transcript; a transcript that cannot be read has none."""
-    read = plan.contents(wanted.select("path")).select(F.col("path").alias("session"), "content")
+def _attachment_digests(attached: DataFrame | None, wanted: DataFrame) -> DataFrame | None:
     if attached is None:
-        files = links.select("session").limit(0).selectExpr("session", "'' kind", "'' path", "'' arcname", "'' content_digest")
-    else:
-        files = attached.where(F.col("outcome") == "file").select(
-            "session", "kind", "path", "arcname", F.sha2("content", 256).alias("content_digest")
-        ).join(wanted.select(F.col("path").alias("session")), "session", "left_semi")
+        return None
+    kept = attached.where(F.col("outcome") == "file").select(
+        "session", "kind", "path", "arcname", F.sha2("content", 256).alias("content_digest")
+    )
+    return kept.join(wanted.select(F.col("path").alias("session")), "session", "left_semi")
+
+
+def _hashes(wanted: DataFrame, digests: DataFrame, links: DataFrame, attached: DataFrame | None) -> DataFrame:
+    """(path, source_hash) from digests(session, digest) of the wanted transcripts."""
     children = links.join(wanted.select(F.col("path").alias("session")), "session", "left_semi")
-    return snapshot.source_hashes(read, files, children).withColumnRenamed("session", "path")
+    hashed = snapshot.link_hashes(digests, _attachment_digests(attached, wanted), children)
+    return hashed.withColumnRenamed("session", "path")
 
 
 def _links(selected: DataFrame) -> DataFrame:
@@ -129,74 +132,100 @@ def _links(selected: DataFrame) -> DataFrame:
     return children.join(parents, ["project_id", "source", "parent"]).select("session", "child_id")
 
 
-def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int) -> None:
-    """Bring store and bundles up to date with one batch of changed files. Repeating a batch changes nothing."""
-    spark = configure(changes.sparkSession)
+def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSession | None = None) -> None:
+    """Bring store and bundles up to date with one batch of changed files. Repeating a batch changes nothing.
+
+    `spark` is the session to work in; a stream's own session has adaptive
+    execution off. Intermediate tables are written below the store: they cut the
+    plan, and whatever reads them survives the loss of executors.
+    """
+    spark = configure(spark or changes.sparkSession)
     tables = Tables(spark, plan.store)
+
+    def stage(name: str, rows: DataFrame) -> DataFrame:
+        target = f"{plan.store}/work/{name}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        return spark.read.schema(rows.schema).parquet(target)
+
     latest = changes.groupBy("path").agg(F.max_by(F.struct("size", "modified"), "modified").alias("f")).select("path", "f.*")
-    described = plan.describe(latest)
+    described = plan.describe(stage("changes", latest))
     before = tables.sessions.read(before=batch_id)
     kept = before.join(described.select("path"), "path", "left_anti")
     all_sessions = tables.sessions.write(kept.unionByName(described.select(*before.columns)), batch_id)
 
-    selected = selected_sessions(plan, all_sessions)
-    attached = plan.attachments(selected) if plan.attachments else None
+    selected = stage("selected", selected_sessions(plan, all_sessions))
+    attached = stage("attached", plan.attachments(selected)) if plan.attachments else None
     refs = selected.join(_file_snapshots(plan, selected, attached), "path", "left")
-    links = _links(selected)
+    links = stage("links", _links(selected))
     old_state, objects = tables.state.read(before=batch_id), tables.objects.read(before=batch_id)
 
-    recorded = st.reusable(st.with_record(refs, old_state, plan.contributor))
+    recorded = stage("recorded", st.reusable(st.with_record(refs, old_state, plan.contributor)))
     unresolved = recorded.where(F.col("cached_state").isNull()).drop("record", "cached_state")
     existing = st.existing_objects(unresolved, objects)
-    hashed = existing.select("path", "file_snapshot_now").join(_hashes(plan, existing, links, attached), "path", "left").select(
+    read = plan.contents(existing.select("path")).select(
+        F.col("path").alias("session"), snapshot.transcript_digest(F.col("content")).alias("digest")
+    )
+    hashed = existing.select("path", "file_snapshot_now").join(_hashes(existing, read, links, attached), "path", "left").select(
         "path", "source_hash", F.when(F.col("source_hash").isNotNull(), F.col("file_snapshot_now")).alias("file_snapshot"),
         F.lit(None).cast("string").alias("error"),
     )
-    checked = tables.statuses.write(
-        st.as_state(st.classify(unresolved, objects, hashed), plan.contributor), batch_id
-    )
+    checked = tables.statuses.write(st.as_state(st.classify(unresolved, objects, hashed), plan.contributor), batch_id)
     state = st.merge_state(old_state, checked)
 
-    wanted = st.candidates(st.with_record(refs, state, plan.contributor)).where(F.col("decision") == "candidate")
-    work = wanted.withColumn("expected", F.struct("record.state", "record.source_hash", "record.file_snapshot")).drop("record", "cached_state")
-    prepared = work.join(_hashes(plan, work, links, attached), "path", "left").withColumn("file_snapshot", F.col("file_snapshot_now"))
+    decided = st.candidates(st.with_record(recorded.drop("record", "cached_state"), state, plan.contributor))
+    work = stage(
+        "work",
+        decided.where(F.col("decision") == "candidate")
+        .withColumn("expected", F.struct("record.state", "record.source_hash", "record.file_snapshot"))
+        .drop("record", "cached_state", "decision"),
+    )
+    # One read gives both the hash and the redacted text, so they cannot disagree.
+    content = plan.contents(work.select("path"))
+    members = stage("members", _members(plan, content, attached, work))
+    own = members.where(F.col("digest").isNotNull()).select("session", "digest")
+    prepared = work.join(_hashes(work, own, links, attached), "path", "left").withColumn(
+        "file_snapshot", F.col("file_snapshot_now")
+    )
     fresh = package.still_as_hashed() & F.col("source_hash").isNotNull()
     if plan.signatures:
         now = plan.signatures().select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
         prepared = prepared.join(now, "path", "left")
         fresh = fresh & (F.col("_size") == F.col("size_bytes")) & (F.col("_modified") == F.col("modified"))
-    fresh = F.coalesce(fresh, F.lit(False))
-    ready = prepared.where(fresh)
+    judged = stage("judged", prepared.withColumn("fresh", F.coalesce(fresh, F.lit(False))))
 
-    read = plan.contents(ready.select("path"))
-    members = package.redact_members(package.transcript_contents(read), plan.salt, plan.usernames, plan.stoplist)
-    totals = links.select("session").limit(0).withColumn("files", F.lit(0).cast("bigint"))
-    if attached is not None:
-        own = attached.where(F.col("outcome") == "file").join(ready.select(F.col("path").alias("session")), "session", "left_semi")
-        extra = own.select("session", F.col("arcname").alias("member_name"), "content")
-        members = members.unionByName(package.redact_members(extra, plan.salt, plan.usernames, plan.stoplist))
-        totals = own.groupBy("session").agg(F.count("*").alias("files"))
-    # Redacted members are written once under their transcript, then described.
-    staged = BatchTable(spark, f"{plan.store}/staged", "session string, member_name string, text string, redactions int")
-    members = staged.write(members, batch_id)
+    counts = package.redaction_counts(members)
+    totals = members.groupBy("session").agg(F.count_if(F.col("digest").isNull()).alias("files"))
     made = package.artifacts(
-        ready, package.redaction_counts(members), totals, plan.contributor, plan.usernames, plan.stoplist, plan.policy
+        judged.where("fresh"), counts, totals, plan.contributor, plan.usernames, plan.stoplist, plan.policy
     )
     artifacts = tables.artifacts.write(made, batch_id)
     tables.members.write(package.bundle_members(artifacts, members, batch_id), batch_id)
 
-    failed = prepared.where(~fresh).select("source", F.col("id").alias("session"), F.lit(package.MOVED).alias("error"))
+    failed = judged.where(~F.col("fresh")).select("source", F.col("id").alias("session"), F.lit(package.MOVED).alias("error"))
     unread = checked.where(F.col("error").isNotNull()).select("source", "session", "error")
     errors = tables.errors.write(failed.unionByName(unread), batch_id)
 
-    moment = F.current_timestamp()
-    published = artifacts.select("key", moment.alias("last_modified"), "metadata")
+    published = artifacts.select("key", F.current_timestamp().alias("last_modified"), "metadata")
     tables.objects.write(objects.join(published.select("key"), "key", "left_anti").unionByName(published), batch_id)
     tables.runs.write(_run_row(artifacts, errors, tables.runs.read().where(F.col("batch_id") < batch_id)), batch_id)
     # The state goes last: until it is complete, a repeated batch starts from the old one.
     tables.state.write(st.record_uploaded(state, artifacts, plan.contributor), batch_id)
 
 
+def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None, work: DataFrame) -> DataFrame:
+    """Redacted members of every candidate; the transcript's row carries the digest of its bytes."""
+    own = package.transcript_contents(content).withColumn("digest", snapshot.transcript_digest(F.col("content")))
+    if attached is not None:
+        kept = attached.where(F.col("outcome") == "file").join(
+            work.select(F.col("path").alias("session")), "session", "left_semi"
+        )
+        extra = kept.select(
+            "session", F.col("arcname").alias("member_name"), "content", F.lit(None).cast("string").alias("digest")
+        )
+        own = own.unionByName(extra)
+    return package.redact_members(own, plan.salt, plan.usernames, plan.stoplist)
+
+
 def _run_row(artifacts: DataFrame, errors: DataFrame, earlier: DataFrame) -> DataFrame:
     """One summary row; a run without uploads carries the last upload time over."""
     done = artifacts.agg(F.count("*").alias("sessions_uploaded"))
@@ -217,7 +246,7 @@ def start(spark: SparkSession, plan: SyncPlan, changes_folder: str, checkpoint:
     configure(spark)
     stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(changes_folder)
     return (
-        stream.writeStream.foreachBatch(lambda batch, batch_id: run_batch(plan, batch, batch_id))
+        stream.writeStream.foreachBatch(lambda batch, batch_id: run_batch(plan, batch, batch_id, spark))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
