@@ -10,11 +10,13 @@ needs some 28 phases whatever the number of files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.joins import lookup
-from sessionloom.session import ensure_checkpoint_dir
+from sessionloom.session import checkpoint_folder
 
 DEFAULT_BUDGET = 100 * 1024 * 1024
 FOLD_LIMIT = 4096
@@ -30,8 +32,8 @@ def within_budget(
         return _folded(files, budget)
     marked = lookup(files, large, ["session"], spread_by=["path"])
     small = marked.where(F.col("_n").isNull()).drop("_n")
-    ensure_checkpoint_dir(files.sparkSession, checkpoint_dir)
-    return _folded(small, budget).unionByName(_phased(marked.where(F.col("_n").isNotNull()).drop("_n"), budget))
+    work = f"{checkpoint_folder(files.sparkSession, checkpoint_dir)}/budget-{uuid.uuid4().hex}"
+    return _folded(small, budget).unionByName(_phased(marked.where(F.col("_n").isNotNull()).drop("_n"), budget, work))
 
 
 def _folded(files: DataFrame, budget: int) -> DataFrame:
@@ -53,52 +55,54 @@ def _folded(files: DataFrame, budget: int) -> DataFrame:
     return chosen.select("session", *[F.col(f"z.rows.{c}").alias(c) for c in ("kind", "path", "size", *others)], F.col("z.kept").alias("kept"))
 
 
-def _phased(files: DataFrame, budget: int) -> DataFrame:
+def _phased(files: DataFrame, budget: int, work: str) -> DataFrame:
+    """All large sessions at once, one written table per phase.
+
+    The table of a phase holds every row still open with its verdict pending; what
+    the phase settles and what stays open both follow from it and its few stops.
+    """
     spark = files.sparkSession
+
+    def written(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = files.repartitionByRange(slices, "session", "kind", "path").withColumn("_slice", F.spark_partition_id())
-    # The slices are materialized: later phases must see the same ones.
-    placed = ranged.checkpoint().withColumn(
-        "_at", F.row_number().over(Window.partitionBy("session", "_slice").orderBy("kind", "path"))
-    )
-    open_rows = placed.withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    rooms = open_rows.select("session").distinct().select("session", F.lit(budget).cast("bigint").alias("room")).checkpoint()
-    done: list[DataFrame] = []
-    while not open_rows.isEmpty():
-        open_rows, rooms, settled = _phase(open_rows, rooms)
-        done.append(settled)
-    result = done[0]
-    for part in done[1:]:
+    ranged = files.repartitionByRange(slices, "session", "kind", "path").sortWithinPartitions("session", "kind", "path")
+    # Partitions are ranges, so the running id is the order of all rows, kept by writing it.
+    placed = written("placed", ranged.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    open_rows = placed.withColumn("_room", F.lit(budget).cast("bigint"))
+    settled = []
+    while True:
+        running = written(f"phase-{len(settled)}", _weigh(open_rows))
+        stops = running.where("_ends").groupBy("session").agg(
+            F.min("_at").alias("_stop"), F.min_by("_left", "_at").alias("_next_room")
+        )
+        judged = lookup(running, stops, ["session"], spread_by=["path"])
+        reached = F.col("_stop").isNull() | (F.col("_at") <= F.col("_stop"))
+        kept = F.col("_light") | F.col("_at").eqNullSafe(F.col("_stop"))
+        settled.append(judged.where(reached).select(*files.columns, kept.alias("kept")))
+        if running.where("_ends").isEmpty():
+            break
+        open_rows = judged.where(~reached).select(*placed.columns, F.col("_next_room").alias("_room"))
+    result = settled[0]
+    for part in settled[1:]:
         result = result.unionByName(part)
-    return result.drop("_slice", "_at")
+    return result
 
 
-def _phase(rows: DataFrame, rooms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One phase for all sessions at once: (rows still open, rooms left, rows settled)."""
-    room = F.col("room")
+def _weigh(rows: DataFrame) -> DataFrame:
+    """Running sum of the light files of a phase, over slices first, and the rows that could end it."""
+    room = F.col("_room")
     half = F.when(room == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(room)) - 1))
-    seen = lookup(rows.drop("kept"), rooms, ["session"], spread_by=["path"], how="inner").withColumn("_half", half)
-    light = F.col("size") <= F.col("_half")
-    weighed = seen.withColumn("_light", light).withColumn("_adds", F.when(light, F.col("size")).otherwise(0))
+    weighed = rows.withColumn("_half", half).withColumn("_light", F.col("size") <= F.col("_half"))
+    weighed = weighed.withColumn("_adds", F.when(F.col("_light"), F.col("size")).otherwise(0))
     before_slice = Window.partitionBy("session").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     in_slice = Window.partitionBy("session", "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     sums = weighed.groupBy("session", "_slice").agg(F.sum("_adds").alias("_sum")).select(
         "session", "_slice", F.coalesce(F.sum("_sum").over(before_slice), F.lit(0)).alias("_base")
     )
-    running = weighed.join(sums, ["session", "_slice"]).withColumn(
-        "_before", F.col("_base") + F.coalesce(F.sum("_adds").over(in_slice), F.lit(0))
-    )
-    left = room - F.col("_before") - F.col("size")
-    ends = F.when(F.col("_light"), (room > 0) & (left <= F.col("_half"))).otherwise(left >= 0)
-    place = F.struct("_slice", "_at")
-    running = running.withColumn("_ends", ends).withColumn("_left", left).checkpoint()
-    stops = running.where("_ends").groupBy("session").agg(
-        F.min(place).alias("_stop"), F.min_by("_left", place).alias("_room")
-    )
-    judged = lookup(running, stops, ["session"], spread_by=["path"])
-    columns = [c for c in rows.columns if c != "kept"]
-    reached = F.col("_stop").isNull() | (place <= F.col("_stop"))
-    settled = judged.where(reached).select(*columns, (F.col("_light") | place.eqNullSafe(F.col("_stop"))).alias("kept"))
-    still_open = judged.where(~reached).select(*columns, F.lit(None).cast("boolean").alias("kept"))
-    next_rooms = stops.select("session", F.col("_room").alias("room"))
-    return still_open.checkpoint(), next_rooms.checkpoint(), settled
+    running = weighed.join(sums, ["session", "_slice"])
+    left = room - F.col("_base") - F.coalesce(F.sum("_adds").over(in_slice), F.lit(0)) - F.col("size")
+    ends = F.when(F.col("_light"), (room > 0) & (F.col("_left") <= F.col("_half"))).otherwise(F.col("_left") >= 0)
+    return running.withColumn("_left", left).withColumn("_ends", ends).drop("_base", "_adds", "_half")

@@ -51,8 +51,3 @@ def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
     return fallback
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
-    """Make DataFrame.checkpoint() usable without overriding the cluster's own folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark, fallback))

@@ -31,7 +31,7 @@ def test_budget_example(spark):
     assert chosen(within_budget(spark.createDataFrame(rows, FILES), 100)) == {("s", "a"): True, ("s", "b"): False, ("s", "c"): True}
 
 
-@pytest.mark.parametrize("budget", [0, 1, 64, 100, 5000])
+@pytest.mark.parametrize("budget", [0, 64, 700])
 def test_large_sessions_are_chosen_like_small_ones(spark, budget):
     rng = random.Random(budget)
     rows = [("hot", rng.choice("ab"), f"p{i:05d}", rng.choice([0, 0, 1, 2, 3, 40, 64, 65, 900])) for i in range(400)]
