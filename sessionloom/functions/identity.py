@@ -79,23 +79,33 @@ def redact_home_paths(text: Column, stoplist: Iterable[str] = ()) -> Column:
 
 
 def _redact_names(found: Column, names: Sequence[str]) -> Column:
-    """Whole-word user names in the given order; a fold keeps the plan small for any number of names."""
+    """Whole-word user names in the given order; a fold keeps the plan small for any number of names.
+
+    The expression starts with the name itself, which the regex engine can search
+    for; what stands before it is tested afterwards.
+    """
+    edge = "[A-Za-z0-9_]"
     table = F.array(
         *[
-            F.struct(F.lit(n).alias("name"), F.lit(rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])").alias("regex"))
+            F.struct(
+                F.lit(n).alias("name"), F.lit(rf"{re.escape(n)}(?<!{edge}{re.escape(n)})(?!{edge})").alias("regex")
+            )
             for n in names
         ]
     )
 
     def step(state: Column, entry: Column) -> Column:
         text = state["text"]
-        return F.when(
-            text.contains(entry["name"]),
-            F.struct(
-                F.regexp_replace(text, entry["regex"], F.lit(USER)).alias("text"),
-                (state["n"] + F.regexp_count(text, entry["regex"])).alias("n"),
-            ),
-        ).otherwise(state)
+        shrink = F.octet_length(entry["name"]) - len(USER)
+
+        def counted(done: Column) -> Column:
+            # Every replacement changes the length alike, so the lengths give the count.
+            by_length = ((F.octet_length(text) - F.octet_length(done)) / shrink).cast("int")
+            n = F.when(shrink != 0, by_length).otherwise(F.regexp_count(text, entry["regex"]))
+            return F.struct(done.alias("text"), (state["n"] + n).alias("n"))
+
+        replaced = let(F.regexp_replace(text, entry["regex"], F.lit(USER)), counted)
+        return F.when(text.contains(entry["name"]), replaced).otherwise(state)
 
     return F.aggregate(table, found, step)
 

@@ -17,6 +17,7 @@ WHITESPACE = (
 WHITESPACE_CLASS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
 # Line boundaries of str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+OTHER_LINE_BREAK = LINE_BREAK.removeprefix(r"\r\n|").replace(r"\n", "")
 
 EMPTY_SESSION = "(empty session)"
 FIRST_MESSAGE_LENGTH = 200

@@ -134,27 +134,46 @@ def _strings(value: Column) -> Column:
     return F.filter(F.coalesce(own(value), inner), lambda s: s != "")
 
 
+_MEMBERS = "array<struct<key:string,value:variant>>"
+
+
+def _children(value: Column) -> Column:
+    """Members of an object, elements of a list, or the JSON written inside a string."""
+    def unnamed(items: Column) -> Column:
+        return F.transform(items, lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
+
+    inner = F.when(V.is_string(value), F.array_compact(F.array(_as_json(value.cast("string")))))
+    return F.coalesce(
+        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
+        unnamed(V.items(value, "$")),
+        unnamed(inner),
+        F.array().cast(_MEMBERS),
+    )
+
+
 def result_identifiers(results: DataFrame, columns: tuple[str, ...] = ("content", "extra"), depth: int = DEPTH) -> DataFrame:
     """(session, step, call_id, identifier): child ids in structured fields, down to `depth` levels.
 
-    Each level is one lateral expansion of objects and lists; JSON inside strings
-    is opened as well. Rows without JSON leave before the first level.
+    Each level is an array in the row of its result, so nothing is shuffled or read
+    twice; results without JSON leave first.
     """
     keys = ["session", "step", "call_id"]
-    level = results.select(*keys, F.explode(F.array(*[F.col(c) for c in columns])).alias("_text"))
-    level = level.select(*keys, F.explode(F.array_compact(F.array(_as_json(F.col("_text"))))).alias("_v"))
-    found = None
+    level = results.select(
+        *keys, F.array_compact(F.array(*[_as_json(F.col(c)) for c in columns])).alias("_parsed")
+    ).where(F.size("_parsed") > 0)
+    level = level.select(
+        *keys, F.transform("_parsed", lambda v: F.struct(F.lit("").alias("key"), v.alias("value"))).alias("_level"),
+        F.array().cast("array<string>").alias("_found"),
+    )
     for _ in range(depth):
-        members = level.sparkSession.tvf.variant_explode(F.col("_v").outer())
-        opened = level.lateralJoin(members).select(*keys, F.col("key").alias("_key"), F.col("value").alias("_v"))
-        name = F.regexp_replace(F.lower(F.col("_key")), "[^a-z0-9]", "")
-        hits = opened.where(name.isin(*CHILD_FIELDS)).select(*keys, F.explode(_strings(F.col("_v"))).alias("identifier"))
-        found = hits if found is None else found.unionByName(hits)
-        text = F.when(V.is_string(F.col("_v")), _as_json(F.col("_v").cast("string"))).when(
-            V.is_object(F.col("_v")) | V.is_array(F.col("_v")), F.col("_v")
+        below = F.flatten(F.transform("_level", lambda e: _children(e["value"])))
+        level = level.select(*keys, "_found", below.alias("_level"))
+        named = F.filter(
+            "_level", lambda e: F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").isin(*CHILD_FIELDS)
         )
-        level = opened.select(*keys, F.explode(F.array_compact(F.array(text))).alias("_v"))
-    return found.distinct()
+        hits = F.flatten(F.transform(named, lambda e: _strings(e["value"])))
+        level = level.select(*keys, "_level", F.array_union("_found", hits).alias("_found"))
+    return level.select(*keys, F.explode("_found").alias("identifier"))
 
 
 def mentioned_tokens(results: DataFrame, columns: tuple[str, ...] = ("content", "extra")) -> DataFrame:

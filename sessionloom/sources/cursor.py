@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import variants as V
-from sessionloom.functions.text import LINE_BREAK, WHITESPACE_CLASS, let, path_name, path_stem, path_suffix, strip
+from sessionloom.functions.text import LINE_BREAK, OTHER_LINE_BREAK, WHITESPACE_CLASS, let, path_name, path_stem, path_suffix, strip
 from sessionloom.sources.dialect import Dialect
 
 ROLES = ("user", "assistant", "system")
@@ -38,10 +38,9 @@ def block_text(v: Column) -> Column:
 
 
 # A role line: the bare word, or a capitalized word, a colon and the first text.
+ROLE_WORDS = ("user", "human", "assistant", "cursor")
 _SPACE = rf"[{WHITESPACE_CLASS}&&[^\n]]*"
-_ROLE_LINE = (
-    rf"(?m)^{_SPACE}(?:((?i:user|human|assistant|cursor)):*|(User|Human|Assistant|Cursor):([^\n]*)){_SPACE}$\n?"
-)
+_ROLE_LINE = rf"(?m)^{_SPACE}(?:(?i:user|human|assistant|cursor):*{_SPACE}|(?:User|Human|Assistant|Cursor):[^\n]*)$\n?"
 
 
 def text_turns(text: Column) -> Column:
@@ -50,33 +49,31 @@ def text_turns(text: Column) -> Column:
     A text without any turn is one assistant turn. The whole text is handled in
     its own row, so no line order has to survive a shuffle.
     """
-    role_line = F.lit(_ROLE_LINE)
-
-    def turns(parts: Column) -> Column:
-        def turn(bare: Column, i: Column) -> Column:
-            word = F.lower(F.concat(bare, F.get(parts["named"], i)))
-            inline = strip(F.get(parts["inline"], i))
-            body = F.concat(inline, F.lit("\n"), F.get(parts["bodies"], i + 1))
-            return F.struct(
-                F.when(word.isin("user", "human"), "user").otherwise("assistant").alias("role"), strip(body).alias("text")
-            )
 
-        return F.filter(F.transform(parts["bare"], turn), lambda t: t["text"] != "")
+    def turn(line: Column, body: Column) -> Column:
+        bare = F.lower(F.rtrim(line, F.lit(":")))
+        is_bare = bare.isin(*ROLE_WORDS)
+        word = F.when(is_bare, bare).otherwise(F.lower(F.substring_index(line, ":", 1)))
+        inline = F.when(is_bare, F.lit("")).otherwise(
+            strip(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
+        )
+        return F.struct(
+            F.when(word.isin("user", "human"), "user").otherwise("assistant").alias("role"),
+            strip(F.concat(inline, F.lit("\n"), body)).alias("text"),
+        )
 
     def whole(plain: Column) -> Column:
-        parts = F.struct(
-            F.regexp_extract_all(plain, role_line, F.lit(1)).alias("bare"),
-            F.regexp_extract_all(plain, role_line, F.lit(2)).alias("named"),
-            F.regexp_extract_all(plain, role_line, F.lit(3)).alias("inline"),
-            F.split(plain, _ROLE_LINE, -1).alias("bodies"),
-        )
+        lines = F.transform(F.regexp_extract_all(plain, F.lit(_ROLE_LINE), F.lit(0)), strip)
+        bodies = F.split(plain, _ROLE_LINE, -1)
+        paired = F.zip_with(lines, F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))), turn)
         single = F.array(F.struct(F.lit("assistant").alias("role"), strip(text).alias("text")))
         return let(
-            let(parts, turns),
+            F.filter(paired, lambda t: t["text"] != ""),
             lambda found: F.when((F.size(found) > 0) | (strip(plain) == ""), found).otherwise(single),
         )
 
-    return let(F.regexp_replace(text, LINE_BREAK, "\n"), whole)
+    plain = F.when(text.rlike(OTHER_LINE_BREAK), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+    return let(plain, whole)
 
 
 def holds_json(text: Column) -> Column:
