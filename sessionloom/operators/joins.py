@@ -40,15 +40,3 @@ def same(left: Column, right: Column) -> Column:
     """Equality that holds for two absent values."""
     return left.eqNullSafe(right)
 
-
-def pick_first(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """The whole row that comes first per key; combines before the shuffle, unlike a row number."""
-    others = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
-
-
-def pick_last(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    others = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])

@@ -66,8 +66,9 @@ def inherit_launch_kind(labelled: DataFrame) -> DataFrame:
     sessions, so the join is salted.
     """
     strength = F.when(F.col("own_kind") == HUMAN, 2).when(F.col("own_kind") == PROGRAMMATIC, 1).otherwise(0)
+    strongest = F.max(strength)
     parents = labelled.groupBy("source", F.col("id").alias("parent")).agg(
-        F.max_by("own_kind", strength).alias("parent_kind")
+        F.when(strongest == 2, HUMAN).when(strongest == 1, PROGRAMMATIC).otherwise(UNKNOWN).alias("parent_kind")
     )
     joined = lookup(labelled, parents, ["source", "parent"], spread_by=["id"])
     kind = F.when(F.col("own_kind") != UNKNOWN, F.col("own_kind")).otherwise(F.coalesce("parent_kind", F.lit(UNKNOWN)))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import EMPTY_SESSION, human_size
-from sessionloom.sources.dialect import Dialect, summary_columns
+from sessionloom.sources.dialect import Dialect, summary_columns, summary_input
 from sessionloom.sources.registry import scan_rank
 
 
 def summarize(events: DataFrame) -> DataFrame:
     """Per path: message count, first user message, first working directory, header."""
-    return events.groupBy("path").agg(*summary_columns())
+    return summary_input(events).groupBy("path").agg(*summary_columns())
 
 
 def sessions(files: DataFrame, events: DataFrame, dialect: Dialect, root: str) -> DataFrame:

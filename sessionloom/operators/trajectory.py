@@ -111,7 +111,7 @@ def child_aliases(children: DataFrame) -> DataFrame:
         "session", "source", "child_id", F.explode(F.array_compact(F.array("child_id", short))).alias("alias")
     )
     grouped = named.groupBy("session", "alias").agg(
-        F.min("child_id").alias("child_id"), F.max("child_id").alias("_last"), F.first("source").alias("source")
+        F.min("child_id").alias("child_id"), F.max("child_id").alias("_last"), F.min("source").alias("source")
     )
     return grouped.where(F.col("child_id") == F.col("_last")).drop("_last")
 
@@ -185,15 +185,35 @@ def mentioned_tokens(results: DataFrame, columns: tuple[str, ...] = ("content",
 
 
 def odd_mentions(results: DataFrame, aliases: DataFrame, columns: tuple[str, ...] = ("content", "extra")) -> DataFrame:
-    """Mentions of aliases holding other characters than a token can; few ids are of this kind."""
-    odd = aliases.where(F.col("alias").rlike("[^A-Za-z0-9_-]")).select("session", F.col("alias").alias("identifier"))
-    both = results.join(odd, "session")
+    """Mentions of aliases holding other characters than a token can.
+
+    Wherever such an alias stands whole, each of its own tokens stands whole as
+    well. Its longest one is joined with the tokens of the results; an alias
+    without any token is joined by its first character.
+    """
+    odd = aliases.where(F.col("alias").rlike("[^A-Za-z0-9_-]")).select(
+        "session", F.col("alias").alias("identifier"),
+        F.transform(
+            F.filter(F.split("alias", "[^A-Za-z0-9_-]+"), lambda t: t != ""),
+            lambda t: F.struct(F.length(t).alias("n"), t.alias("t")),
+        ).alias("_runs"),
+    )
+    anchored = odd.select(
+        "session", "identifier", F.coalesce(F.array_max("_runs")["t"], F.left("identifier", F.lit(1))).alias("anchor")
+    )
+    keys = ["session", "step", "call_id"]
+    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
+    marks = F.flatten(F.transform(texts, lambda t: F.array_distinct(F.split(t, "[A-Za-z0-9_-]*"))))
+    signs = results.select(*keys, F.explode(F.array_distinct(marks)).alias("identifier"))
+    anchors = mentioned_tokens(results, columns).unionByName(signs).withColumnRenamed("identifier", "anchor")
+    near = anchors.join(anchored, ["session", "anchor"]).select(*keys, "identifier").distinct()
+    both = near.join(results.select(*keys, *columns), keys)
     edge = "(?<![A-Za-z0-9_-])\\Q{}\\E(?![A-Za-z0-9_-])".split("{}")
     regex = F.concat(F.lit(edge[0]), F.replace("identifier", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(edge[1]))
     hit = F.lit(False)
     for c in columns:
         hit = hit | (F.coalesce(F.col(c).contains(F.col("identifier")), F.lit(False)) & F.regexp_like(F.col(c), regex))
-    return both.where(hit).select("session", "step", "call_id", "identifier")
+    return both.where(hit).select(*keys, "identifier")
 
 
 def child_references(

@@ -76,12 +76,17 @@ def messages(events: DataFrame) -> DataFrame:
     return events.where(F.col("role").isNotNull()).drop("counts", "opens", "cwd", "header")
 
 
-def summary_columns() -> list[Column]:
-    """Aggregates over events of one transcript; all combine on the map side."""
+def summary_input(events: DataFrame) -> DataFrame:
+    """What a summary needs of each event: texts are cut before anything is sorted or shuffled."""
     opening = F.when(F.col("opens") & (strip(F.col("text")) != ""), truncate(F.col("text")))
+    return events.select("path", "seq", "counts", "cwd", "header", opening.alias("opening"))
+
+
+def summary_columns() -> list[Column]:
+    """Aggregates over summary_input of one transcript; all combine on the map side."""
     return [
         F.count_if(F.col("counts")).cast("int").alias("message_count"),
-        F.min_by(opening, F.when(opening.isNotNull(), F.col("seq"))).alias("first_message"),
+        F.min_by("opening", F.when(F.col("opening").isNotNull(), F.col("seq"))).alias("first_message"),
         F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("seq"))).alias("cwd"),
         F.min_by("header", "seq").alias("header"),
     ]

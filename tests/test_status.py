@@ -118,15 +118,15 @@ def test_bundles_of_the_newest_batch(spark, tmp_path):
 def test_child_identifiers(spark):
     contents = {
         "deep": '{"a":{"b":[{"Agent-ID":"c1"}]}}', "list": '[{"session_ids":["c1",["c2"]]}]', "string": '{"t":"{\\"threadId\\": \\"c1\\"}"}',
-        "mention": "see c1, not c2x", "odd": "odd/id. here", "none": '{"agentId": 5}', "broken": '{"agentId":"c9"',
+        "mention": "see c1, not c2x", "odd": "odd/id. here, \u00e9!", "none": '{"agentId": 5}', "broken": '{"agentId":"c9"',
     }
     results = spark.createDataFrame([("s", i, "c", v, None) for i, v in enumerate(contents.values())], "session string, step int, call_id string, content string, extra string")
     calls = spark.createDataFrame([("s", i, "c", "codex", "multi.Spawn-Agent") for i in range(len(contents))], "session string, step int, call_id string, source string, function_name string")
-    children = spark.createDataFrame([("s", "codex", c) for c in ("c1", "c2", "odd/id", "c9")], "session string, source string, child_id string")
+    children = spark.createDataFrame([("s", "codex", c) for c in ("c1", "c2", "odd/id", "c9", "here/id", "\u00e9!")], "session string, source string, child_id string")
     got = {}
     for r in T.child_references(calls, results, children).collect():
         got.setdefault(list(contents)[r.step], set()).add(r.session_id)
-    assert got == {"deep": {"c1"}, "list": {"c1", "c2"}, "string": {"c1"}, "mention": {"c1"}, "odd": {"odd/id"}, "broken": {"c9"}}
+    assert got == {"deep": {"c1"}, "list": {"c1", "c2"}, "string": {"c1"}, "mention": {"c1"}, "odd": {"odd/id", "\u00e9!"}, "broken": {"c9"}}
     some = T.child_references(calls, results, children).where("step = 0").select("session", "step", "call_id", "trajectory_id")
     assert T.child_references(calls, results, children, some).where("step = 0").count() == 0
 
