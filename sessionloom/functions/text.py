@@ -17,7 +17,7 @@ WHITESPACE = (
 WHITESPACE_CLASS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
 # Line boundaries of str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
-OTHER_LINE_BREAK = LINE_BREAK.removeprefix(r"\r\n|").replace(r"\n", "")
+OTHER_LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 EMPTY_SESSION = "(empty session)"
 FIRST_MESSAGE_LENGTH = 200
@@ -32,6 +32,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def unify_line_breaks(text: Column) -> Column:
+    """Every line boundary as a line feed; most texts have no other and stay as they are."""
+    other = F.lit(False)
+    for mark in OTHER_LINE_BREAKS:
+        other = other | text.contains(mark)
+    return F.when(other, F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+
+
 def truncate(text: Column, length: int = FIRST_MESSAGE_LENGTH) -> Column:
     """Stripped text cut to `length` code points, with dots only when something was cut."""
     return shorten(strip(text), length)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import variants as V
-from sessionloom.functions.text import LINE_BREAK, OTHER_LINE_BREAK, WHITESPACE_CLASS, let, path_name, path_stem, path_suffix, strip
+from sessionloom.functions.text import WHITESPACE_CLASS, let, path_name, path_stem, path_suffix, strip, unify_line_breaks
 from sessionloom.sources.dialect import Dialect
 
 ROLES = ("user", "assistant", "system")
@@ -72,8 +72,7 @@ def text_turns(text: Column) -> Column:
             lambda found: F.when((F.size(found) > 0) | (strip(plain) == ""), found).otherwise(single),
         )
 
-    plain = F.when(text.rlike(OTHER_LINE_BREAK), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
-    return let(plain, whole)
+    return let(unify_line_breaks(text), whole)
 
 
 def holds_json(text: Column) -> Column:
