@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,21 +44,18 @@ def test_large_sessions_are_chosen_like_small_ones(spark, budget):
     assert chosen(within_budget(frame, budget, fold_limit=20)) == expected
 
 
+DELIMITERS = " \t\r\n\"'\\<>,)]"
+
+
 def scan_pointers(text, marker, suffix=""):
-    """Character by character, as described for one pass over the text."""
-    stop = set(" \t\r\n\"'\\<>,)]")
-    found, at = [], text.find(marker)
-    while at >= 0:
-        start, end = at, at + len(marker)
-        while start > 0 and text[start - 1] not in stop:
-            start -= 1
-        while end < len(text) and text[end] not in stop | {"/"}:
-            end += 1
-        token = text[start:end]
-        if token.startswith("/") and token.endswith(suffix):
-            found.append(token)
-        at = text.find(marker, max(end, at + len(marker)))
-    return found
+    """From the last delimiter before each marker to the next delimiter or slash behind it."""
+    name = re.compile("[^" + re.escape(DELIMITERS) + "/]*")
+    openings = [0] + [i + 1 for i, c in enumerate(text) if c in DELIMITERS]
+    tokens = [
+        text[max(o for o in openings if o <= hit.start()) : name.match(text, hit.end()).end()]
+        for hit in re.finditer(re.escape(marker), text)
+    ]
+    return [t for t in tokens if t[0] == "/" and t.endswith(suffix)]
 
 
 def test_pointers_equal_a_character_scan(spark):

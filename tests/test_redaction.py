@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import accumulate, groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,24 +70,22 @@ def test_hmac_matches_python(spark):
 
 
 def brute_force(text):
-    """The published algorithm: all matches, sorted, overlaps joined, best rank kept."""
+    """All matches of all detectors, grouped where they overlap, named by the best rank."""
     found = []
     for p in S.PATTERNS:
         python = f"({p.lead})({p.body}){p.tail}".replace(r"[\p{L}\p{N}_]", r"\w").replace(r"\p{Nd}", r"\d")
         for m in re.finditer(python, text, re.IGNORECASE if p.flags else 0):
             if m.end(2) > m.start(2):
                 found.append((m.start(2), m.end(2), p.kind, p.rank))
-    found.sort(key=lambda s: (s[0], -s[1]))
-    merged = []
-    for start, end, kind, rank in found:
-        if merged and start < merged[-1][1]:
-            last = merged[-1]
-            last[1] = max(last[1], end)
-            if rank > last[3]:
-                last[2], last[3] = kind, rank
-        else:
-            merged.append([start, end, kind, rank])
-    return [(k, a, b, b - a) for a, b, k, _ in merged]
+    ordered = sorted(found, key=lambda s: (s[0], -s[1]))
+    reach = [0, *accumulate((s[1] for s in ordered), max)]
+    island = accumulate(int(s[0] >= r) for s, r in zip(ordered, reach))
+    spans = []
+    for _, members in groupby(zip(island, ordered), key=lambda pair: pair[0]):
+        inside = [s for _, s in members]
+        start, stop = inside[0][0], max(s[1] for s in inside)
+        spans.append((max(inside, key=lambda s: s[3])[2], start, stop, stop - start))
+    return spans
 
 
 def noisy_texts(n=160):
