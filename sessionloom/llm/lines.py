@@ -103,13 +103,13 @@ def _sql_text(html: str) -> str:
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host, {_sql_text('html')} AS t,
                   row_number() OVER () AS r FROM pages),
-l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS at FROM p),
+l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM p),
 n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 f AS (SELECT l.host, trim(line, ' ') AS key FROM l JOIN n ON l.host IS NOT DISTINCT FROM n.host WHERE trim(line, ' ') <> ''
       GROUP BY 1, 2 HAVING any_value(pages) >= {MIN_PAGES} AND count(DISTINCT r) > 0.05 * any_value(pages)),
 k AS (SELECT l.*, f.key IS NOT NULL AS dropped FROM l LEFT JOIN f ON l.host IS NOT DISTINCT FROM f.host AND trim(line, ' ') = f.key),
 g AS (SELECT r, count(*) FILTER (WHERE trim(line, ' ') <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
-             string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT dropped) AS text FROM k GROUP BY r)
+             string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) AS text FROM k GROUP BY r)
 SELECT page_id, host, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_dropped, 0)::INT AS n_dropped,
        sha256(coalesce(text, '')) AS kept_sha256 FROM p LEFT JOIN g USING (r)
 """
