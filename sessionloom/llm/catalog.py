@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from sessionloom.llm.lines import OP1_SQL, op1_line_dedup
+from sessionloom.llm.neardup import OP3_SQL, op3_near_duplicates
 from sessionloom.llm.quality import op10_quality
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op10_quality": op10_quality}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op10_quality": op10_quality}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL}
