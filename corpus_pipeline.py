@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import Scratch, documents
 from sessionloom.llm.lines import drop_boilerplate
+from sessionloom.llm.mixing import mix
+from sessionloom.llm.neardup import near_duplicates
+from sessionloom.llm.pieces import model_path, tokens
 from sessionloom.llm.quality import learn, score_column
 
 REJECT_BELOW = 0.5
@@ -27,7 +30,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id, once. Rows without an id stay."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    first = docs.join(kept, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id IS NULL"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, those of small sources up to twice, so that sources come closer to equal weights."""
+    return mix(docs, F.col("source"), F.col("text"), Scratch(spark, "mixing")).select("row.*")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row of the mix, as digest and count, with the digest of the text they decode to."""
+    return tokens(docs, model_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", encoding),
+]
 ORACLE_SQL = None  # the classifier and the encoder have no SQL form
 
 

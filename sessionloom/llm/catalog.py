@@ -5,12 +5,14 @@ from __future__ import annotations
 from sessionloom.llm.lines import OP1_SQL, op1_line_dedup
 from sessionloom.llm.mixing import op4_mixing
 from sessionloom.llm.neardup import OP3_SQL, op3_near_duplicates
+from sessionloom.llm.pieces import op6_pieces
 from sessionloom.llm.quality import op10_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
+    "op6_pieces": op6_pieces,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL}
