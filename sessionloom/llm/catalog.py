@@ -7,12 +7,14 @@ from sessionloom.llm.mixing import op4_mixing
 from sessionloom.llm.neardup import OP3_SQL, op3_near_duplicates
 from sessionloom.llm.pieces import op6_pieces
 from sessionloom.llm.quality import op10_quality
+from sessionloom.llm.vectors import OP9_SQL, op9_near_vectors
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
     "op6_pieces": op6_pieces,
+    "op9_near_vectors": op9_near_vectors,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op9_near_vectors": OP9_SQL}
