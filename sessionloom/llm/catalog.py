@@ -7,6 +7,7 @@ from sessionloom.llm.mixing import op4_mixing
 from sessionloom.llm.neardup import OP3_SQL, op3_near_duplicates
 from sessionloom.llm.pieces import op6_pieces
 from sessionloom.llm.quality import op10_quality
+from sessionloom.llm.substrings import op7_substrings
 from sessionloom.llm.vectors import OP9_SQL, op9_near_vectors
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
     "op6_pieces": op6_pieces,
+    "op7_substrings": op7_substrings,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality": op10_quality,
 }
