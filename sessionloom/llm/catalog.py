@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sessionloom.llm.fingerprints import OP5_SQL, op5_fingerprints
+from sessionloom.llm.licenses import OP8_SQL, op8_licenses
 from sessionloom.llm.lines import OP1_SQL, op1_line_dedup
 from sessionloom.llm.mixing import op4_mixing
 from sessionloom.llm.neardup import OP3_SQL, op3_near_duplicates
@@ -14,9 +16,17 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_pieces": op6_pieces,
     "op7_substrings": op7_substrings,
+    "op8_licenses": op8_licenses,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op9_near_vectors": OP9_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_near_duplicates": OP3_SQL,
+    "op5_fingerprints": OP5_SQL,
+    "op8_licenses": OP8_SQL,
+    "op9_near_vectors": OP9_SQL,
+}
