@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sessionloom.llm.fingerprints import OP5_SQL, op5_fingerprints
+from sessionloom.llm.language import op2_language
 from sessionloom.llm.licenses import OP8_SQL, op8_licenses
 from sessionloom.llm.lines import OP1_SQL, op1_line_dedup
 from sessionloom.llm.mixing import op4_mixing
@@ -14,6 +15,7 @@ from sessionloom.llm.vectors import OP9_SQL, op9_near_vectors
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language": op2_language,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
     "op5_fingerprints": op5_fingerprints,
