@@ -25,15 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source."""
     done = drop_boilerplate(docs, F.col("source"), F.col("text"), BOILERPLATE_RATIO)
-    return done.select("row", F.col("text").alias("__kept")).select("row.*", "__kept").select(
-        *[F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns]
-    )
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id, once. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own_id"), F.struct("*").alias("row"))
+    first = rows.join(kept, F.col("own_id") == F.col("kept_id")).dropDuplicates(["own_id"]).select("row.*")
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 
