@@ -112,7 +112,7 @@ def attach_pointers(spark: SparkSession, folder: str) -> DataFrame:
     )
     lines = talk.select(F.concat(F.lit("/s/"), "conv_id").alias("path"), F.col("turn").alias("seq"), raw.alias("raw"))
     found = att.claude_pointers(lines).unionByName(att.cursor_pointers(lines))
-    return found.select(F.substring("session", 4, 99).cast("bigint").alias("conv_id"), F.col("place.seq").alias("turn"), "kind", "pointer")
+    return found.select(F.substr("session", F.lit(4)).cast("bigint").alias("conv_id"), F.col("place.seq").alias("turn"), "kind", "pointer")
 
 
 def _item_files(spark: SparkSession, folder: str, session: Column) -> DataFrame:
@@ -349,7 +349,7 @@ def key_listing(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("top/"), F.regexp_replace("url", "^https?://", ""), F.when(F.col("page_id") % 3 == 0, ".txt").otherwise(".zip")).alias("key"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 3600).alias("last_modified"),
     )
-    flat = objects.select(F.concat(F.lit("top/"), F.regexp_replace(F.substring("key", 5, 999), "/", "-")).alias("key"), "last_modified")
+    flat = objects.select(F.concat(F.lit("top/"), F.regexp_replace(F.substr("key", F.lit(5)), "/", "-")).alias("key"), "last_modified")
     both = listing.list_prefix(objects, "top/").unionByName(listing.list_prefix(flat, "top/")).unionByName(listing.list_prefix(objects, ""))
     return both.select("name", "key", "is_folder", "label")
 

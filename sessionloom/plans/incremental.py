@@ -70,7 +70,48 @@ def incremental_sync(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(F.col("session").cast("bigint").alias("doc_id"), "state", "source_hash", "batch_id", "characters", "error")
 
 
-QUERIES = {"incremental_sync": incremental_sync}
+def sync_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Two files for each id, three batches of which the second is idle: what each file's state is and what its key holds."""
+    docs = _path(table(spark, folder, "documents"))
+    base = work_folder(spark, "repeated")
+    store, changes = f"{base}/store", f"{base}/changes"
+    edited = F.col("doc_id") % 8 == 1
+
+    def inventory(rows: DataFrame, round_no: int) -> DataFrame:
+        later = F.when(edited, F.lit(round_no)).otherwise(0)
+        return rows.select("path", (F.col("n_chars") + later).alias("size"), F.timestamp_seconds(1_700_000_000 + later).alias("modified"))
+
+    def describe(changed: DataFrame) -> DataFrame:
+        return docs.join(changed, "path").select(
+            F.lit("codex").alias("source"), F.floor(F.col("doc_id") / 2).cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
+            F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
+            F.left("text", F.lit(20)).alias("first_message"), F.lit("app").alias("project_label"),
+            F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
+        )
+
+    def plan(last: bool) -> sync.SyncPlan:
+        text = F.when(edited & F.lit(last), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+
+        def contents(paths: DataFrame) -> DataFrame:
+            return docs.join(paths, "path", "left_semi").select("path", text.cast("binary").alias("content"))
+
+        return sync.SyncPlan(store=store, contributor="me", describe=describe, contents=contents, salt=CHECK_SALT)
+
+    for round_no in (0, 0, 1):
+        inventory(docs, round_no).write.mode("append").parquet(changes)
+        sync.start(spark, plan(round_no == 1), changes, f"{base}/progress").awaitTermination()
+
+    tables = sync.Tables(spark, store)
+    objects = tables.objects.read().groupBy("key").agg(F.count("*").alias("objects"))
+    members = tables.members.read().groupBy("key").agg(F.count("*").alias("members"), F.max("batch_id").alias("batch_id"))
+    records = tables.state.read()
+    files = records.groupBy("key").agg(F.count("*").alias("records"))
+    joined = records.join(objects, "key").join(members, "key").join(files, "key")
+    number = F.regexp_extract("path", r"/d/(\d+)\.jsonl", 1).cast("bigint")
+    return joined.select(number.alias("doc_id"), "state", "source_hash", "objects", "members", "records", "batch_id")
+
+
+QUERIES = {"incremental_sync": incremental_sync, "sync_repeated_ids": sync_repeated_ids}
 _EMAIL = r"(^|[^A-Za-z0-9._%+\-\\@])([A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24})"
 _SECRET = r"""(?i)((?:password|passwd|secret|token|api_key|apikey|access_key)\s*[=:]\s*["''])([^"'']{8,})(["''])"""
 ORACLES = {
@@ -80,4 +121,13 @@ ORACLES = {
     CASE WHEN doc_id % 4 = 2 THEN 0 ELSE 1 END::BIGINT AS batch_id,
     length(regexp_replace(regexp_replace(t, '{_SECRET}', '\\1' || repeat('m', 16) || '\\3', 'g'), '{_EMAIL}', '\\1[EMAIL]', 'g'))::INTEGER AS characters,
     NULL::VARCHAR AS error FROM d""",
+    "sync_repeated_ids": """
+  WITH d AS (SELECT doc_id, doc_id // 2 AS id, text, text || CASE WHEN doc_id % 8 = 1 THEN '!' ELSE '' END AS t,
+                    '/d/' || doc_id || '.jsonl' AS path FROM documents),
+  h AS (SELECT *, sha256(encode('source-v5') || unhex('00') || encode(t)) AS own FROM d),
+  w AS (SELECT id, max_by(doc_id, path) AS winner, max_by(own, path) AS hash, max_by(doc_id % 8 = 1, path) AS again, count(*) AS n FROM h GROUP BY id)
+  SELECT doc_id, CASE WHEN again OR own = hash THEN 'current' ELSE 'changed' END AS state,
+    CASE WHEN again THEN hash ELSE own END AS source_hash, 1::BIGINT AS objects, CASE WHEN again THEN 4 ELSE 2 END::BIGINT AS members,
+    n AS records, CASE WHEN again THEN 2 ELSE 0 END::BIGINT AS batch_id
+  FROM h JOIN w ON h.id = w.id""",
 }

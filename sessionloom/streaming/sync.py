@@ -89,7 +89,15 @@ def selected_sessions(plan: SyncPlan, all_sessions: DataFrame) -> DataFrame:
         known = merged.select(F.col("project_id").alias("identity"))
         saved = plan.consent() if plan.consent else known.where(F.lit(False))
         described = consents.sessions_for_projects(described, consents.allowed_projects(known, saved))
-    return st.references(described, plan.contributor)
+    return _key_owners(st.references(described, plan.contributor))
+
+
+def _key_owners(refs: DataFrame) -> DataFrame:
+    """Adds `owns_key`: of sessions with one key, as worktrees and resumed sessions have, the one met last is published.
+
+    The others keep a state of their own, but no bundle: two files can't take turns under one key."""
+    last = refs.groupBy("key").agg(F.max_by("path", "ordinal").alias("_owner"))
+    return refs.join(last, "key").withColumn("owns_key", F.col("path") == F.col("_owner")).drop("_owner")
 
 
 def _file_snapshots(plan: SyncPlan, selected: DataFrame, attached: DataFrame | None) -> DataFrame:
@@ -175,7 +183,7 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     decided = st.candidates(st.with_record(recorded.drop("record", "cached_state"), state, plan.contributor))
     work = stage(
         "work",
-        decided.where(F.col("decision") == "candidate")
+        decided.where((F.col("decision") == "candidate") & F.col("owns_key"))
         .withColumn("expected", F.struct("record.state", "record.source_hash", "record.file_snapshot"))
         .drop("record", "cached_state", "decision"),
     )
