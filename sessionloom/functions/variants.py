@@ -8,6 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A string may be as long as a row; the parser's own limit is 20,000,000 characters.
+_PARSER = {"maxStringLen": "2147483647"}
+_LAST = 918273645546372819
+
+
+def documents(text: Column) -> Column:
+    """The JSON value that the text is, as a list of one; NULL where it is none.
+
+    Read as the first of two elements of a list: a second value, a bracket or other junk behind the text leaves
+    another number of elements or another last one.
+    """
+    listed = F.concat(F.lit("["), text, F.lit(f",{_LAST}]"))
+    elements = F.try_variant_get(F.from_json(listed, "variant", _PARSER), "$", "array<variant>")
+    whole = lambda found: (F.size(found) == 2) & (F.try_variant_get(F.get(found, F.lit(1)), "$", "bigint") == _LAST)
+    return F.element_at(F.transform(F.array(elements), lambda found: F.when(whole(found), F.slice(found, 1, 1))), 1)
+
+
+def document(text: Column) -> Column:
+    """The JSON value that the text is, or NULL."""
+    return F.get(documents(text), F.lit(0))
+
+
 def field(value: Column, path: str) -> Column:
     """The field as VARIANT; SQL NULL when it is absent."""
     return F.try_variant_get(value, path, "variant")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRTY = ["", "   ", "not json", "[1,2]", '"text"', '{"a":', '{"a":1,"a":2}']
+DIRTY = ["", "   ", "not json", "[1,2]", '"text"', '{"a":', '{"a":1,"a":2}', '{"role":"user","content":"x"}{"b":2}', '{"role":"user","content":"x"},{"b":2}', '{"role":"user"} x}']
 CODEX_TAGS = (
     '"cli"', '"exec"', '{"custom":"x"}', '{"internal":"memory"}', '{"subagent":"review"}',
     '{"subagent":{"thread_spawn":{"parent_thread_id":"p1"}}}', '{"subagent":{"other":"y"}}',

@@ -177,7 +177,7 @@ ORACLES = {
     "line_quarantine": """
   SELECT s.source, r.reason, (r.per_turn * (SELECT count(*) FROM conversations WHERE turn % 2 = 1))::BIGINT AS lines
   FROM (VALUES ('claude_code'), ('codex'), ('cursor'), ('pi')) s(source),
-       (VALUES ('not an object', 3), ('not parsable', 1)) r(reason, per_turn)""",
+       (VALUES ('not an object', 3), ('not parsable', 4)) r(reason, per_turn)""",
     "legacy_text_turns": """
   WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

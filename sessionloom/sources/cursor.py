@@ -80,7 +80,7 @@ def holds_json(text: Column) -> Column:
     return F.exists(
         F.split(text, "\n"),
         lambda line: F.coalesce(
-            F.when(strip(line).startswith("{"), V.is_object(F.try_parse_json(strip(line)))), F.lit(False)
+            F.when(strip(line).startswith("{"), V.is_object(V.document(strip(line)))), F.lit(False)
         ),
     )
 

@@ -8,11 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions import variants as V
 from sessionloom.functions.text import strip
 
-# A JSON string past 16 MiB does not parse; such lines are reported, not lost.
-LONGEST_LINE = 16 * 1024 * 1024
-
 
 def plain_path(path: Column) -> Column:
     """A file URI as the path a transcript would write."""
@@ -113,10 +111,10 @@ def lossy_text(content: Column) -> Column:
 
 
 def _parsed(raw: Column) -> Column:
-    """The line as VARIANT. What parses and starts with a brace is an object;
-    the brace also spares the parser every other line."""
+    """The line's object as a list of one, otherwise NULL. What parses and starts with a brace
+    is an object; the brace also spares the parser every other line."""
     clean = strip(raw)
-    return F.when(clean.startswith("{") & clean.endswith("}"), F.try_parse_json(clean))
+    return F.when(clean.startswith("{") & clean.endswith("}"), V.documents(clean))
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
@@ -125,17 +123,13 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     The object comes out of a generator: filters on it stay above, where a plain
     column would be substituted into them and every line parsed once per filter.
     """
-    return lines.select("*", F.explode(F.array_compact(F.array(_parsed(F.col("raw"))))).alias("v"))
+    return lines.select("*", F.explode(_parsed(F.col("raw"))).alias("v"))
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
     """Lines that hold text but no usable object, with the reason."""
     clean = strip(F.col("raw"))
-    reason = (
-        F.when(F.length("raw") > LONGEST_LINE, "too long")
-        .when(clean.startswith("{"), "not parsable")
-        .otherwise("not an object")
-    )
+    reason = F.when(clean.startswith("{"), "not parsable").otherwise("not an object")
     return lines.where((clean != "") & _parsed(F.col("raw")).isNull()).withColumn("reason", reason)
 
 
