@@ -7,8 +7,12 @@ content and extra are JSON or plain text. A session is a transcript path or id.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import variants as V
 from sessionloom.functions.naming import bundle_name, transcript_id
@@ -16,7 +20,6 @@ from sessionloom.functions.text import collapse_whitespace, strip
 from sessionloom.operators.joins import lookup
 
 SUPPORTED_SOURCES = ("claude_code", "codex")
-DEPTH = 6
 # Result fields that name a child, compared without case and punctuation.
 CHILD_FIELDS = (
     "agentid", "agentids", "childthreadid", "receiverthreadids", "sessionid", "sessionids", "threadid", "threadids",
@@ -116,75 +119,89 @@ def child_aliases(children: DataFrame) -> DataFrame:
     return grouped.where(F.col("child_id") == F.col("_last")).drop("_last")
 
 
-def _as_json(text: Column) -> Column:
-    clean = strip(text)
-    return F.when(clean.rlike(r"^[{\[]"), F.try_parse_json(clean))
-
-
-def _strings(value: Column) -> Column:
-    """String values of a field: itself, or the strings of a list, two lists deep."""
-    def own(x: Column) -> Column:
-        return F.when(V.is_string(x), F.array(x.cast("string")))
-
-    nothing = F.array().cast("array<string>")
-    listed = F.coalesce(V.items(value, "$"), F.array().cast("array<variant>"))
-    inner = F.flatten(F.transform(listed, lambda x: F.coalesce(own(x), F.filter(
-        F.transform(F.coalesce(V.items(x, "$"), F.array().cast("array<variant>")), lambda y: F.when(V.is_string(y), y.cast("string"))),
-        lambda s: s.isNotNull()), nothing)))
-    return F.filter(F.coalesce(own(value), inner), lambda s: s != "")
-
-
-_MEMBERS = "array<struct<key:string,value:variant>>"
-
+def json_facts(text: str, whole: bool) -> dict | None:
+    """Child ids in the named fields of a JSON text at any depth, and its string leaves; None if it is no JSON.
+
+    JSON written inside a string is looked into for named fields, but stays one leaf. Unless `whole`, leaves are
+    given for a list only: an object as content is plain text to a reader of mentions."""
+    try:
+        parsed = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(parsed, (dict, list)):
+        return None
+    ids: dict[str, None] = {}
+    leaves: list[str] = []
+    waiting = [(parsed, True)]
+    while waiting:
+        node, outside = waiting.pop()
+        if isinstance(node, str):
+            if outside:
+                leaves.append(node)
+            if node.strip()[:1] in ("{", "["):
+                try:
+                    waiting.append((json.loads(node), False))
+                except (ValueError, RecursionError):
+                    pass
+        elif isinstance(node, list):
+            waiting.extend((x, outside) for x in node)
+        elif isinstance(node, dict):
+            for key, value in node.items():
+                if "".join(c for c in key.lower() if c.isascii() and c.isalnum()) in CHILD_FIELDS:
+                    named = [value]
+                    while named:
+                        x = named.pop()
+                        if isinstance(x, str) and x:
+                            ids[x] = None
+                        elif isinstance(x, list):
+                            named.extend(x)
+                waiting.append((value, outside))
+    return {"ids": list(ids), "leaves": leaves if whole or isinstance(parsed, list) else [text]}
+
+
+_FACTS = T.StructType([T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("leaves", T.ArrayType(T.StringType()))])
+
+
+def _facts(text: Column, whole: bool) -> Column:
+    @F.arrow_udf(_FACTS)
+    def read(texts: pa.Array) -> pa.Array:
+        kind = pa.struct([("ids", pa.list_(pa.string())), ("leaves", pa.list_(pa.string()))])
+        return pa.array([None if x is None else json_facts(x, whole) for x in texts.to_pylist()], kind)
+
+    return read(F.when(strip(text).rlike(r"^[{\[]"), text))
+
+
+def read_results(results: DataFrame) -> DataFrame:
+    """(session, step, call_id, ids, texts) of results: ids in named fields, and the texts that may mention a child.
+
+    Only results of spawning calls come here, which are few; a JSON one is walked once, whatever its depth."""
+    read = results.select(
+        "session", "step", "call_id", "content", "extra", _facts(F.col("content"), False).alias("_c"), _facts(F.col("extra"), True).alias("_e")
+    )
+    none = F.array().cast("array<string>")
 
-def _children(value: Column) -> Column:
-    """Members of an object, elements of a list, or the JSON written inside a string."""
-    def unnamed(items: Column) -> Column:
-        return F.transform(items, lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
+    def texts(column: str, facts: str) -> Column:
+        return F.coalesce(F.col(f"{facts}.leaves"), F.array_compact(F.array(F.col(column))))
 
-    inner = F.when(V.is_string(value), F.array_compact(F.array(_as_json(value.cast("string")))))
-    return F.coalesce(
-        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-        unnamed(V.items(value, "$")),
-        unnamed(inner),
-        F.array().cast(_MEMBERS),
+    return read.select(
+        "session", "step", "call_id", F.array_union(F.coalesce("_c.ids", none), F.coalesce("_e.ids", none)).alias("ids"),
+        F.concat(texts("content", "_c"), texts("extra", "_e")).alias("texts"),
     )
 
 
-def result_identifiers(results: DataFrame, columns: tuple[str, ...] = ("content", "extra"), depth: int = DEPTH) -> DataFrame:
-    """(session, step, call_id, identifier): child ids in structured fields, down to `depth` levels.
+def result_identifiers(read: DataFrame) -> DataFrame:
+    """(session, step, call_id, identifier): child ids in structured fields."""
+    return read.select("session", "step", "call_id", F.explode("ids").alias("identifier"))
 
-    Each level is an array in the row of its result, so nothing is shuffled or read
-    twice; results without JSON leave first.
-    """
-    keys = ["session", "step", "call_id"]
-    level = results.select(
-        *keys, F.array_compact(F.array(*[_as_json(F.col(c)) for c in columns])).alias("_parsed")
-    ).where(F.size("_parsed") > 0)
-    level = level.select(
-        *keys, F.transform("_parsed", lambda v: F.struct(F.lit("").alias("key"), v.alias("value"))).alias("_level"),
-        F.array().cast("array<string>").alias("_found"),
-    )
-    for _ in range(depth):
-        below = F.flatten(F.transform("_level", lambda e: _children(e["value"])))
-        level = level.select(*keys, "_found", below.alias("_level"))
-        named = F.filter(
-            "_level", lambda e: F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").isin(*CHILD_FIELDS)
-        )
-        hits = F.flatten(F.transform(named, lambda e: _strings(e["value"])))
-        level = level.select(*keys, "_level", F.array_union("_found", hits).alias("_found"))
-    return level.select(*keys, F.explode("_found").alias("identifier"))
-
-
-def mentioned_tokens(results: DataFrame, columns: tuple[str, ...] = ("content", "extra")) -> DataFrame:
-    """(session, step, call_id, identifier): every whole token of a result, to be matched with aliases."""
-    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
-    tokens = F.flatten(F.transform(texts, lambda t: F.split(t, "[^A-Za-z0-9_-]+")))
-    exploded = results.select("session", "step", "call_id", F.explode(F.array_distinct(tokens)).alias("identifier"))
+
+def mentioned_tokens(read: DataFrame) -> DataFrame:
+    """(session, step, call_id, identifier): every whole token of a result's texts, to be matched with aliases."""
+    tokens = F.flatten(F.transform("texts", lambda t: F.split(t, "[^A-Za-z0-9_-]+")))
+    exploded = read.select("session", "step", "call_id", F.explode(F.array_distinct(tokens)).alias("identifier"))
     return exploded.where(F.col("identifier") != "")
 
 
-def odd_mentions(results: DataFrame, aliases: DataFrame, columns: tuple[str, ...] = ("content", "extra")) -> DataFrame:
+def odd_mentions(read: DataFrame, aliases: DataFrame) -> DataFrame:
     """Mentions of aliases holding other characters than a token can.
 
     Wherever such an alias stands whole, each of its own tokens stands whole as
@@ -202,17 +219,14 @@ def odd_mentions(results: DataFrame, aliases: DataFrame, columns: tuple[str, ...
         "session", "identifier", F.coalesce(F.array_max("_runs")["t"], F.left("identifier", F.lit(1))).alias("anchor")
     )
     keys = ["session", "step", "call_id"]
-    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
-    marks = F.flatten(F.transform(texts, lambda t: F.array_distinct(F.split(t, "[A-Za-z0-9_-]*"))))
-    signs = results.select(*keys, F.explode(F.array_distinct(marks)).alias("identifier"))
-    anchors = mentioned_tokens(results, columns).unionByName(signs).withColumnRenamed("identifier", "anchor")
+    marks = F.flatten(F.transform("texts", lambda t: F.array_distinct(F.split(t, "[A-Za-z0-9_-]*"))))
+    signs = read.select(*keys, F.explode(F.array_distinct(marks)).alias("identifier"))
+    anchors = mentioned_tokens(read).unionByName(signs).withColumnRenamed("identifier", "anchor")
     near = anchors.join(anchored, ["session", "anchor"]).select(*keys, "identifier").distinct()
-    both = near.join(results.select(*keys, *columns), keys)
+    both = near.join(read.select(*keys, "texts"), keys)
     edge = "(?<![A-Za-z0-9_-])\\Q{}\\E(?![A-Za-z0-9_-])".split("{}")
     regex = F.concat(F.lit(edge[0]), F.replace("identifier", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(edge[1]))
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | (F.coalesce(F.col(c).contains(F.col("identifier")), F.lit(False)) & F.regexp_like(F.col(c), regex))
+    hit = F.exists("texts", lambda t: t.contains(F.col("identifier")) & F.regexp_like(t, regex))
     return both.where(hit).select(*keys, "identifier")
 
 
@@ -225,11 +239,11 @@ def child_references(
     """
     aliases = child_aliases(children)
     calls = tool_calls.where(is_spawn_tool(F.col("source"), F.col("function_name"))).select("session", "step", "call_id").distinct()
-    results = tool_results.join(calls, ["session", "step", "call_id"])
+    read = read_results(tool_results.join(calls, ["session", "step", "call_id"]))
     identifiers = (
-        result_identifiers(results)
-        .unionByName(mentioned_tokens(results))
-        .unionByName(odd_mentions(results, aliases))
+        result_identifiers(read)
+        .unionByName(mentioned_tokens(read))
+        .unionByName(odd_mentions(read, aliases))
         .distinct()
     )
     matched = identifiers.join(aliases.withColumnRenamed("alias", "identifier"), ["session", "identifier"])

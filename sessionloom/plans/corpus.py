@@ -12,6 +12,7 @@ from sessionloom.operators import status as st
 from sessionloom.plans import native
 from sessionloom.plans.privacy import CHECK_SALT
 from sessionloom.plans.tables import table
+from sessionloom.sources import codex
 from sessionloom.sources.files import decode_lines
 
 
@@ -408,9 +409,44 @@ def child_refs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def child_ids_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """Child ids below up to eleven objects and lists, and mentions that only string values may make."""
+    talk = table(spark, folder, "conversations")
+    depth = (F.col("turn") % 12).cast("int")
+    child = F.concat(F.lit("child"), _text("conv_id"), F.lit("-"), _text("turn"))
+    named = F.concat(F.repeat(F.lit('{"a":[['), depth), F.lit('{"agentId":[[["'), child, F.lit('"]]]}'), F.repeat(F.lit("]]}"), depth))
+    extra = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"t":"line\\n'), child, F.lit(' done"}')))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit('{"'), child, F.lit('":true}')))
+        .otherwise(F.lit(None).cast("string"))
+    )
+    base = talk.select(_text("conv_id").alias("session"), F.col("turn").alias("step"), F.lit("c").alias("call_id"), "turn", named.alias("named"), extra.alias("extra"), child.alias("child_id"))
+    content = F.when(F.col("turn") % 2 == 0, F.col("named")).otherwise(F.lit("nothing"))
+    calls = base.select("session", "step", "call_id", F.lit("claude_code").alias("source"), F.lit("Task").alias("function_name"))
+    results = base.select("session", "step", "call_id", content.alias("content"), "extra")
+    children = base.select("session", F.lit("claude_code").alias("source"), "child_id")
+    return trajectory.child_references(calls, results, children).select(
+        F.col("session").cast("bigint").alias("conv_id"), F.col("step").alias("turn"), "session_id"
+    )
+
+
+def codex_cwd_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Working directories below up to eleven objects; one in a shallower object behind it does not come first."""
+    talk = table(spark, folder, "conversations")
+    depth = (F.col("turn") % 12).cast("int")
+    place = F.concat(F.lit("/w/"), _text("conv_id"), F.lit("/"), _text("turn"))
+    line = F.concat(
+        F.lit('{"payload":'), F.repeat(F.lit('{"session":'), depth), F.lit('{"cwd":"'), place, F.lit('"}'), F.repeat(F.lit("}"), depth),
+        F.lit(',"meta":{"cwd":"/later"}}'),
+    )
+    decoded = decode_lines(talk.select("conv_id", "turn", line.alias("raw")))
+    return decoded.select("conv_id", "turn", codex.find_cwd(F.col("v"), F.col("raw")).alias("cwd"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        child_ids_deep, codex_cwd_depth,
         project_merge, project_rollup, repository_roots, child_links, attach_pointers, attach_budget, arcname_collisions,
         attachment_outcomes, content_hash, storage_keys, upload_status, status_summary, state_counts, state_reuse,
         state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, origin_join, child_refs,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import variants as V
 from sessionloom.functions.text import let, path_name, path_stem
@@ -14,7 +18,7 @@ TEXT_BLOCKS = ("input_text", "output_text", "text")
 # Fields that name a working directory and the objects to look into.
 CWD_FIELDS = ("cwd", "cwd_path", "working_directory")
 CWD_PARENTS = ("payload", "session", "meta", "session_meta")
-CWD_DEPTH = 4
+CWD_LEVELS = 4  # objects looked through by expressions; deeper lines, which are rare, are walked as a whole
 _UUID = r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 
 
@@ -37,24 +41,49 @@ def block_text(v: Column) -> Column:
     return let(_node(v), lambda node: V.content_text(node, "$.content", shown))
 
 
+def walk_cwd(line: str) -> str | None:
+    """The first working directory in a line, an object before what is in it."""
+    try:
+        waiting = [json.loads(line)]
+    except (ValueError, RecursionError):
+        return None
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            found = next((node[name] for name in CWD_FIELDS if isinstance(node.get(name), str) and node[name]), None)
+            if found is not None:
+                return found
+            waiting.extend(node[name] for name in reversed(CWD_PARENTS) if name in node)
+    return None
+
+
+def _walked(raw: Column) -> Column:
+    @F.arrow_udf(T.StringType())
+    def walk(lines: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else walk_cwd(x) for x in lines.to_pylist()], pa.string())
+
+    return walk(raw)
+
+
 def find_cwd(v: Column, raw: Column) -> Column:
-    """The first working directory in the line, own fields before nested ones, down to CWD_DEPTH objects."""
+    """The first working directory in the line, own fields before nested ones, at any depth."""
     level = F.array(F.struct(F.lit("").alias("order"), v.alias("node")))
     levels = [level]
-    for _ in range(CWD_DEPTH - 1):
-        def below(entry: Column) -> Column:
-            children = [
-                F.when(
-                    V.is_object(V.field(entry["node"], f"$.{name}")),
-                    F.struct(
-                        F.concat(entry["order"], F.lit(str(i))).alias("order"),
-                        V.field(entry["node"], f"$.{name}").alias("node"),
-                    ),
-                )
-                for i, name in enumerate(CWD_PARENTS)
-            ]
-            return F.array_compact(F.array(*children))
 
+    def below(entry: Column) -> Column:
+        children = [
+            F.when(
+                V.is_object(V.field(entry["node"], f"$.{name}")),
+                F.struct(
+                    F.concat(entry["order"], F.lit(str(i))).alias("order"),
+                    V.field(entry["node"], f"$.{name}").alias("node"),
+                ),
+            )
+            for i, name in enumerate(CWD_PARENTS)
+        ]
+        return F.array_compact(F.array(*children))
+
+    for _ in range(CWD_LEVELS - 1):
         level = F.flatten(F.transform(level, below))
         levels.append(level)
 
@@ -65,7 +94,9 @@ def find_cwd(v: Column, raw: Column) -> Column:
 
     # Ordering by the path of child positions visits parents before children.
     found = F.array_min(F.array_compact(F.transform(F.concat(*levels), own)))["cwd"]
-    return F.when(raw.contains("cwd") | raw.contains("working_directory"), found)
+    named = raw.contains("cwd") | raw.contains("working_directory")
+    deeper = named & (F.size(F.flatten(F.transform(level, below))) > 0)
+    return F.when(deeper, _walked(F.when(deeper, raw))).otherwise(F.when(named, found))
 
 
 def session_class(tag: Column) -> Column:

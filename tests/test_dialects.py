@@ -151,7 +151,7 @@ def test_messages(spark, corpus):
 def test_quarantine_keeps_rejected_lines(spark, corpus):
     lines = CorpusScan(spark, "claude_code", corpus["claude_code"]).lines()
     rejected = {(r.raw, r.reason) for r in quarantine(lines).collect()}
-    assert {("not json", "not an object"), ("[1,2]", "not an object"), ('"text"', "not an object"), ('{"a":NaN}', "not parsable")} == rejected
+    assert {("not json", "not an object"), ("[1,2]", "not an object"), ('"text"', "not an object")} == rejected  # NaN is read
     kept = decode_lines(lines).count() + len(rejected)
     assert kept == lines.where(F.trim("raw") != "").count()
 
@@ -226,3 +226,18 @@ def test_turns_of_odd_texts(spark):
         [], [], [("assistant", "User:\nAssistant:")], [("user", "x")], [("user", "x\ny")], [("assistant", "Users: a")],
         [("user", "a"), ("user", "b")], [("user", "q\n r")],
     ]
+
+
+def test_lines_hold_one_value_of_any_length(spark):
+    rows = ['{"a":1}', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1} x}', '{"a":1,"a":2}', '{"a":NaN}', '{"a":', '{"a":"' + "x" * 21_000_000 + '"}', "{}", '{"a":1}]}', '{"a":1}],[{"b":1}']
+    frame = spark.createDataFrame(list(enumerate(rows)), "n int, raw string")
+    assert {r.n for r in decode_lines(frame).select("n").collect()} == {0, 4, 5, 7, 8}
+    assert {r.n for r in quarantine(frame).collect()} == {1, 2, 3, 6, 9, 10}
+
+
+@pytest.mark.parametrize("depth", [0, 2, 3, 4, 5, 40])
+def test_working_directory_at_any_depth(spark, depth):
+    line = '{"payload":' + '{"meta":' * depth + '{"cwd":"/deep"}' + "}" * depth + ',"session":{"cwd":"/later"}}'
+    frame = spark.createDataFrame([(line,), ('{"a":1}',)], "raw string")
+    assert [r[0] for r in decode_lines(frame).select(codex.find_cwd(F.col("v"), F.col("raw"))).collect()] == ["/deep", None]
+    assert codex.walk_cwd(line) == "/deep"

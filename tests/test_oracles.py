@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import difference
+from sessionloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, name):
     frame = entry.queries()[name](spark, FOLDER)
     assert difference(frame, FOLDER, entry.oracle_sql()[name]) is None

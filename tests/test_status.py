@@ -156,3 +156,12 @@ def test_preview_bounds(spark):
 def test_selection_ignores_unknown_and_repeated(spark):
     picked = spark.createDataFrame([("codex", "p", "", "a"), ("codex", "p", None, "a"), ("codex", "p", "q", "b"), ("codex", "x", None, "b")], "source string, project string, parent string, session string")
     assert [r.id for r in st.resolve_selection(picked, refs(spark, "a", "b")).collect()] == ["a"]
+
+
+def test_mentions_come_from_string_values(spark):
+    deep = '{"x":[' * 9 + '{"agentId":[[["c1"]]]}' + "]}" * 9
+    rows = [(deep, None), ("-", '{"t":"line\\nc1 done"}'), ("-", '{"c1":true}'), ('["see c1"]', None), ('[{"c1":"x"}]', None), ('{"c1":true}', None)]
+    results = spark.createDataFrame([("s", i, "c", a, b) for i, (a, b) in enumerate(rows)], "session string, step int, call_id string, content string, extra string")
+    calls = spark.createDataFrame([("s", i, "c", "claude_code", "Task") for i in range(len(rows))], "session string, step int, call_id string, source string, function_name string")
+    children = spark.createDataFrame([("s", "claude_code", "c1")], "session string, source string, child_id string")
+    assert {r.step for r in T.child_references(calls, results, children).collect()} == {0, 1, 3, 5}

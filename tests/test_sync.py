@@ -95,3 +95,16 @@ def test_publish_change_and_replay(spark, world, monkeypatch):
     monkeypatch.setattr(st, "REDACTION_VERSION", 2)
     sync.run_batch(plan, spark.read.parquet(f"{tmp}/changes").limit(0), 3, spark)
     assert {r.id for r in spark.read.parquet(f"{plan.store}/artifacts").where("batch_id = 3").collect()} == {"s1", "s2", "agent-k"}
+
+
+def test_one_bundle_for_a_repeated_id(spark, world):
+    write, tick, plan, folder, tmp = world
+    other = tmp / "projects" / "-srv-app-worktree"
+    other.mkdir()
+    (other / "s1.jsonl").write_text((folder / "s1.jsonl").read_text() + "\n")
+    for _ in range(2):
+        tables = tick()
+        assert tables.objects.read().count() == 3 and tables.state.read().count() == 4
+        members = tables.members.read()
+        assert members.count() == members.select("key", "member_name").distinct().count()
+    assert spark.read.parquet(f"{plan.store}/artifacts").count() == 3
