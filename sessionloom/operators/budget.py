@@ -27,13 +27,13 @@ def within_budget(
 ) -> DataFrame:
     """Adds `kept` to files(session, kind, path, size, …), taken per session by (kind, path)."""
     budget = max(0, budget)
-    large = files.groupBy("session").agg(F.count("*").alias("_n")).where(F.col("_n") > fold_limit)
+    base = checkpoint_folder(files.sparkSession, checkpoint_dir)
+    large = files.groupBy("session").agg(F.count("*").alias("_n")).where(F.col("_n") > fold_limit).select("session")
     if large.isEmpty():
         return _folded(files, budget)
-    marked = lookup(files, large, ["session"], spread_by=["path"])
-    small = marked.where(F.col("_n").isNull()).drop("_n")
-    work = f"{checkpoint_folder(files.sparkSession, checkpoint_dir)}/budget-{uuid.uuid4().hex}"
-    return _folded(small, budget).unionByName(_phased(marked.where(F.col("_n").isNotNull()).drop("_n"), budget, work))
+    small = files.join(large, "session", "left_anti")
+    work = f"{base}/budget-{uuid.uuid4().hex}"
+    return _folded(small, budget).unionByName(_phased(files.join(large, "session", "left_semi"), budget, work))
 
 
 def _folded(files: DataFrame, budget: int) -> DataFrame:

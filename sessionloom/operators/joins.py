@@ -7,33 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    salts: int = SALTS,
-    how: str = "left",
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "left") -> DataFrame:
     """Join a skewed left side to a right side that is unique on `on`.
 
-    Each key is split into `salts` parts on the left and repeated on the narrow
-    right side. Left rows with a NULL key match nothing and are spread over all
-    partitions. The salt is a hash of row columns, so retried tasks route every
-    row as before. Where the right side turns out small, the adaptive planner
-    still switches to a broadcast.
+    Left rows with a NULL key match nothing and are spread over all partitions by a hash of `spread_by`, so retried
+    tasks route every row as before. Nothing is repeated: a key with a large share of the left rows is split at run
+    time by adaptive execution, which may cut the left side of these joins, and a right side that turns out small is
+    broadcast. Results keep no partitioning that a later step could rely on.
     """
     keys = list(on)
-    hashed = F.xxhash64(*spread_by)
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    salted = left.withColumn("_salt", F.when(no_key, hashed).otherwise(F.pmod(hashed, F.lit(salts))))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    spread = left.withColumn("_spread", F.when(no_key, F.xxhash64(*spread_by)).otherwise(F.lit(0).cast("bigint")))
+    return spread.join(right.withColumn("_spread", F.lit(0).cast("bigint")), [*keys, "_spread"], how).drop("_spread")
 
 
 def same(left: Column, right: Column) -> Column:

@@ -42,10 +42,10 @@ def chain(
     memory for one batch however many there are.
     """
     keys, order = list(keys), list(order)
-    sizes = entries.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > fold_limit)
-    marked = lookup(entries, sizes, keys, spread_by=order)
+    # Only keys over the limit, which are few, take the other way; the fold keeps the partitioning of its anti join.
+    large = entries.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > fold_limit).select(*keys)
     few = (
-        marked.where(F.col("_n").isNull())
+        entries.join(large, keys, "left_anti")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(*order, F.hex("payload").alias("_hex")))).alias("_all"))
         .select(*keys, F.unhex(F.array_join(F.transform("_all", lambda e: e["_hex"]), "")).alias("_bytes"))
@@ -54,7 +54,7 @@ def chain(
     short = seeded.join(few, keys, "left").withColumn(
         "_chained", F.when(F.col("_bytes").isNotNull(), F.sha2(F.concat("_seed", "_bytes"), 256))
     )
-    many = lookup(marked.where(F.col("_n").isNotNull()).drop("_n"), seeded.select(*keys, "_seed"), keys, spread_by=order, how="inner")
+    many = lookup(entries.join(large, keys, "left_semi"), seeded.select(*keys, "_seed"), keys, spread_by=order, how="inner")
     streamed = _stream_hash(many, keys, order)
     both = short.drop("_bytes", "_seed").join(streamed, keys, "left")
     return both.withColumn("digest", F.coalesce("_streamed", "_chained", "digest")).drop("_streamed", "_chained")

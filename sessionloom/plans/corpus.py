@@ -11,7 +11,7 @@ from sessionloom.operators import budget, consent, listing, package, preview, pr
 from sessionloom.operators import status as st
 from sessionloom.plans import native
 from sessionloom.plans.privacy import CHECK_SALT
-from sessionloom.plans.tables import table
+from sessionloom.plans.tables import shared_folder, table
 from sessionloom.sources import codex
 from sessionloom.sources.files import decode_lines
 
@@ -128,7 +128,15 @@ def _item_files(spark: SparkSession, folder: str, session: Column) -> DataFrame:
 def attach_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as files of their order, 60 units allowed."""
     files = _item_files(spark, folder, F.col("l_orderkey"))
-    return budget.within_budget(files, budget=60).select(F.col("session").alias("l_orderkey"), "kind", "path", "size", "kept")
+    kept = budget.within_budget(files, budget=60, checkpoint_dir=shared_folder(spark))
+    return kept.select(F.col("session").alias("l_orderkey"), "kind", "path", "size", "kept")
+
+
+def attach_budget_phased(spark: SparkSession, folder: str) -> DataFrame:
+    """The same choice with the limit for folding so low that most orders are decided in phases."""
+    files = _item_files(spark, folder, F.col("l_orderkey"))
+    kept = budget.within_budget(files, budget=60, fold_limit=2, checkpoint_dir=shared_folder(spark))
+    return kept.select(F.col("session").alias("l_orderkey"), "kind", "path", "size", "kept")
 
 
 def arcname_collisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,13 +166,13 @@ def attachment_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("real_path"),
         F.lit(True).alias("is_file"), F.col("p_size").cast("bigint").alias("size"),
     )
-    done = att.attach(pointers, files, att.fixed_roots([("/r", "/real")]), budget=60)
+    done = att.attach(pointers, files, att.fixed_roots([("/r", "/real")]), budget=60, checkpoint_dir=shared_folder(spark))
     return att.totals(done).select(F.col("session").alias("l_orderkey"), "total_bytes", "files", "missing", "skipped")
 
 
 # --- hashes ---------------------------------------------------------------
 
-def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+def content_hash(spark: SparkSession, folder: str, fold_limit: int = snapshot.FOLD_LIMIT) -> DataFrame:
     """Documents as transcripts; benchmark-like attachments from pages, children from conversations."""
     docs = table(spark, folder, "documents")
     transcripts = docs.select(F.col("doc_id").alias("session"), F.col("text").cast("binary").alias("content"))
@@ -175,10 +183,15 @@ def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     files = pages.unionByName(pages.withColumn("kind", F.lit("task-outputs")).withColumn("arcname", F.concat(F.lit("t/"), "arcname")))
     talk = table(spark, folder, "conversations")
     children = talk.select((F.col("conv_id") * 3).alias("session"), F.concat(F.lit("k"), _text("turn")).alias("child_id"))
-    hashed = snapshot.source_hashes(transcripts, files.withColumnRenamed("url", "path"), children)
+    hashed = snapshot.source_hashes(transcripts, files.withColumnRenamed("url", "path"), children, fold_limit)
     return hashed.select(F.col("session").alias("doc_id"), "source_hash")
 
 
+def content_hash_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hashes with the limit for folding so low that most entries are streamed."""
+    return content_hash(spark, folder, fold_limit=1)
+
+
 # --- naming, status, bundles ----------------------------------------------
 
 def storage_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -446,7 +459,7 @@ def codex_cwd_depth(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        child_ids_deep, codex_cwd_depth,
+        child_ids_deep, codex_cwd_depth, attach_budget_phased, content_hash_streamed,
         project_merge, project_rollup, repository_roots, child_links, attach_pointers, attach_budget, arcname_collisions,
         attachment_outcomes, content_hash, storage_keys, upload_status, status_summary, state_counts, state_reuse,
         state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, origin_join, child_refs,

@@ -189,3 +189,4 @@ ORACLES = {
   SELECT conv_id, turn, 'child' || conv_id || '-' || turn AS session_id FROM conversations WHERE turn % 2 = 0 OR turn % 3 = 0""",
     "codex_cwd_depth": "SELECT conv_id, turn, '/w/' || conv_id || '/' || turn AS cwd FROM conversations",
 }
+ORACLES |= {"attach_budget_phased": ORACLES["attach_budget"], "content_hash_streamed": ORACLES["content_hash"]}

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.plans.privacy import CHECK_SALT
-from sessionloom.plans.tables import table
-from sessionloom.session import checkpoint_folder
+from sessionloom.plans.tables import shared_folder, table
 from sessionloom.sources.store import current_bundles
 from sessionloom.streaming import sync
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_folder(spark, tempfile.mkdtemp(prefix="loom-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _path(doc: DataFrame) -> DataFrame:

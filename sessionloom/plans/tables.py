@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.session import configure
+from sessionloom.session import checkpoint_folder, configure
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    try:
+        return checkpoint_folder(spark).rstrip("/")
+    except ValueError:
+        return tempfile.mkdtemp(prefix="loom-")
