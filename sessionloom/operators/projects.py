@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions.text import path_name
 from sessionloom.operators.joins import lookup
@@ -144,13 +148,36 @@ def encode_path(path: Column) -> Column:
     return F.replace(trimmed, F.lit("/"), F.lit("-"))
 
 
+def walk_paths(value: str) -> list[str]:
+    """Absolute paths in saved editor state: an object's fsPath, its path, then what is in it, in order."""
+    try:
+        waiting = [json.loads(value)]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            named = [node.get(name) for name in ("fsPath", "path")]
+            found.extend(x for x in named if isinstance(x, str) and x[:1] in ("/", "\\"))
+            waiting.extend(reversed(list(node.values())))
+        elif isinstance(node, list):
+            waiting.extend(reversed(node))
+    return found
+
+
 def path_dictionary(app_state: DataFrame) -> DataFrame:
-    """(folder, path) from saved editor state: every path string at any depth, the first per folder."""
-    regex = r'"(?:fsPath|path)"\s*:\s*"((?:[/]|\\\\)(?:[^"\\]|\\.)*)"'
+    """(folder, path) from saved editor state: every path string at any depth, the first met per folder.
+
+    The state is a handful of values per editor; each is walked as a whole."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def walked(values: pa.Array) -> pa.Array:
+        return pa.array([walk_paths(x or "") for x in values.to_pylist()], pa.list_(pa.string()))
+
     found = (
-        app_state.where(F.col("key").isin(*APP_STATE_KEYS) & F.try_parse_json("value").isNotNull())
-        .select("key", F.posexplode(F.regexp_extract_all("value", F.lit(regex), F.lit(1))).alias("at", "escaped"))
-        .select("key", "at", F.from_json(F.concat(F.lit('{"p":"'), "escaped", F.lit('"}')), "p string")["p"].alias("path"))
+        app_state.where(F.col("key").isin(*APP_STATE_KEYS))
+        .select("key", F.posexplode(walked(F.col("value").cast("string"))).alias("at", "path"))
         .withColumn("folder", encode_path(F.col("path")))
     )
     # The first saved key in name order that is listed first wins.

@@ -151,3 +151,12 @@ def test_consent(spark):
     assert as_set(consent.update_consent(ids("a"), ids("b"), saved.where("identity <> ''"), found, True)) == {("z", "Z"), ("y", "Y")}
     assert as_set(consent.reported_consent(saved, found)) == {("b", "B"), ("z", "Z"), ("y", "Y")}
     assert [r.identity for r in consent.distinct_consent(saved).collect()] == ["b", "y", "z"]
+
+
+def test_editor_state_is_walked_objects_first(spark):
+    from sessionloom.operators.projects import APP_STATE_KEYS, path_dictionary, walk_paths
+
+    value = '{"x":{"path":"/a-b"},"path":"/q","fsPath":"/a/b","l":[{"path":"C:"},{"path":"/z"}]}'
+    assert walk_paths(value) == ["/a/b", "/q", "/a-b", "/z"]
+    frame = spark.createDataFrame([(APP_STATE_KEYS[0], value), ("other", value), (APP_STATE_KEYS[0], "{"), (APP_STATE_KEYS[0], None)], "key string, value string")
+    assert {(r.folder, r.path) for r in path_dictionary(frame).collect()} == {("a-b", "/a/b"), ("q", "/q"), ("z", "/z")}
