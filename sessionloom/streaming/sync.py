@@ -37,7 +37,8 @@ ARTIFACT_SCHEMA = (
 RUN_SCHEMA = "finished_at timestamp, status string, sessions_uploaded bigint, errors bigint, last_uploaded_at timestamp"
 ERROR_SCHEMA = "source string, session string, error string"
 ATTACHMENT_SCHEMA = (
-    "session string, path string, reference string, arcname string, kind string, size bigint, outcome string, content binary"
+    "session string, path string, reference string, arcname string, kind string, size bigint, modified timestamp, "
+    "outcome string, content binary"
 )
 
 
@@ -47,7 +48,8 @@ class SyncPlan:
 
     describe     changed files -> SESSION_SCHEMA rows
     contents     (path) rows -> (path, content)
-    attachments  optional: sessions -> ATTACHMENT_SCHEMA rows
+    attachments  optional: sessions -> ATTACHMENT_SCHEMA rows; called once for all sessions, whose bytes are then not
+                 looked at, and again for those sessions alone that are hashed or published
     signatures   optional: () -> present files(path, size, modified), read again after packing
     consent      optional: () -> saved consent(identity, label)
     """
@@ -100,34 +102,35 @@ def _key_owners(refs: DataFrame) -> DataFrame:
     return refs.join(last, "key").withColumn("owns_key", F.col("path") == F.col("_owner")).drop("_owner")
 
 
-def _file_snapshots(plan: SyncPlan, selected: DataFrame, attached: DataFrame | None) -> DataFrame:
+def _file_snapshots(selected: DataFrame, attached: DataFrame | None) -> DataFrame:
     """One value per transcript for the size and time of every file its bundle depends on."""
     own = selected.select(
         F.col("path").alias("session"), "path", F.lit(True).alias("exists"), F.col("size_bytes").alias("size"), "modified"
     )
     if attached is not None:
         there = F.col("outcome") != "missing"
-        more = attached.select(
-            "session", F.coalesce("path", "reference").alias("path"), there.alias("exists"), "size",
-            F.lit(None).cast("timestamp").alias("modified"),
-        )
+        more = attached.select("session", F.coalesce("path", "reference").alias("path"), there.alias("exists"), "size", "modified")
         own = own.unionByName(more)
     return snapshot.snapshot_digest(own).select(F.col("session").alias("path"), F.col("file_snapshot").alias("file_snapshot_now"))
 
 
-def _attachment_digests(attached: DataFrame | None, wanted: DataFrame) -> DataFrame | None:
+def _attachment_digests(attached: DataFrame | None) -> DataFrame | None:
     if attached is None:
         return None
-    kept = attached.where(F.col("outcome") == "file").select(
-        "session", "kind", "path", "arcname", F.sha2("content", 256).alias("content_digest")
-    )
-    return kept.join(wanted.select(F.col("path").alias("session")), "session", "left_semi")
+    return attached.where(F.col("outcome") == "file").select("session", "kind", "path", "arcname", F.sha2("content", 256).alias("content_digest"))
+
+
+def _moved(attached: DataFrame, now: DataFrame) -> DataFrame:
+    """Sessions with an attachment that is gone or has another size or time than when it was read."""
+    there = attached.where(F.col("outcome") != "missing").join(now, "path", "left")
+    changed = ~(F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")))
+    return there.where(changed & F.col("modified").isNotNull()).select(F.col("session").alias("path")).distinct()
 
 
 def _hashes(wanted: DataFrame, digests: DataFrame, links: DataFrame, attached: DataFrame | None) -> DataFrame:
-    """(path, source_hash) from digests(session, digest) of the wanted transcripts."""
+    """(path, source_hash) from digests(session, digest) and attachments of the wanted transcripts."""
     children = links.join(wanted.select(F.col("path").alias("session")), "session", "left_semi")
-    hashed = snapshot.link_hashes(digests, _attachment_digests(attached, wanted), children)
+    hashed = snapshot.link_hashes(digests, _attachment_digests(attached), children)
     return hashed.withColumnRenamed("session", "path")
 
 
@@ -162,8 +165,13 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     all_sessions = tables.sessions.write(kept.unionByName(described.select(*before.columns)), batch_id)
 
     selected = stage("selected", selected_sessions(plan, all_sessions))
-    attached = stage("attached", plan.attachments(selected)) if plan.attachments else None
-    refs = selected.join(_file_snapshots(plan, selected, attached), "path", "left")
+    # The bytes of attachments are read only for sessions that need them.
+    listed = stage("attached", plan.attachments(selected).drop("content")) if plan.attachments else None
+
+    def attached_to(rows: DataFrame) -> DataFrame | None:
+        return plan.attachments(selected.join(rows.select("path"), "path", "left_semi")) if plan.attachments else None
+
+    refs = selected.join(_file_snapshots(selected, listed), "path", "left")
     links = stage("links", _links(selected))
     old_state, objects = tables.state.read(before=batch_id), tables.objects.read(before=batch_id)
 
@@ -173,7 +181,7 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     read = plan.contents(existing.select("path")).select(
         F.col("path").alias("session"), snapshot.transcript_digest(F.col("content")).alias("digest")
     )
-    hashed = existing.select("path", "file_snapshot_now").join(_hashes(existing, read, links, attached), "path", "left").select(
+    hashed = existing.select("path", "file_snapshot_now").join(_hashes(existing, read, links, attached_to(existing)), "path", "left").select(
         "path", "source_hash", F.when(F.col("source_hash").isNotNull(), F.col("file_snapshot_now")).alias("file_snapshot"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -189,7 +197,9 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     )
     # One read gives both the hash and the redacted text, so they cannot disagree.
     content = plan.contents(work.select("path"))
-    members = stage("members", _members(plan, content, attached, work))
+    attached = attached_to(work)
+    attached = stage("attached_work", attached) if attached is not None else None
+    members = stage("members", _members(plan, content, attached))
     own = members.where(F.col("digest").isNotNull()).select("session", "digest")
     prepared = work.join(_hashes(work, own, links, attached), "path", "left").withColumn(
         "file_snapshot", F.col("file_snapshot_now")
@@ -199,6 +209,10 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
         now = plan.signatures().select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
         prepared = prepared.join(now, "path", "left")
         fresh = fresh & (F.col("_size") == F.col("size_bytes")) & (F.col("_modified") == F.col("modified"))
+        if attached is not None:
+            moved = _moved(listed.join(work.select(F.col("path").alias("session")), "session", "left_semi"), now)
+            prepared = prepared.join(moved.withColumn("_moved", F.lit(True)), "path", "left")
+            fresh = fresh & F.col("_moved").isNull()
     judged = stage("judged", prepared.withColumn("fresh", F.coalesce(fresh, F.lit(False))))
 
     counts = package.redaction_counts(members)
@@ -220,14 +234,11 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     tables.state.write(st.record_uploaded(state, artifacts, plan.contributor), batch_id)
 
 
-def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None, work: DataFrame) -> DataFrame:
+def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None) -> DataFrame:
     """Redacted members of every candidate; the transcript's row carries the digest of its bytes."""
     own = package.transcript_contents(content).withColumn("digest", snapshot.transcript_digest(F.col("content")))
     if attached is not None:
-        kept = attached.where(F.col("outcome") == "file").join(
-            work.select(F.col("path").alias("session")), "session", "left_semi"
-        )
-        extra = kept.select(
+        extra = attached.where(F.col("outcome") == "file").select(
             "session", F.col("arcname").alias("member_name"), "content", F.lit(None).cast("string").alias("digest")
         )
         own = own.unionByName(extra)

@@ -1,13 +1,14 @@
 """Incremental runs over real files: only what changed is published again."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import attachments as A
 from sessionloom.operators import status as st
-from sessionloom.sources.files import read_texts
+from sessionloom.sources.files import file_inventory, read_texts
 from sessionloom.sources.scan import CorpusScan
 from sessionloom.sources.store import current_bundles
 from sessionloom.streaming import sync
@@ -44,11 +45,11 @@ def world(spark, tmp_path):
         pointers = A.claude_pointers(scan().lines())
         owned = A.folder_pointers(A.owned_folders(selected), files, "tool-results", pointers)
         found = A.attach(pointers.unionByName(owned), files, A.fixed_roots([(str(root), str(root))]))
-        return found.join(files.select("path", "content"), "path", "left")
+        return found.join(files.select("path", "content", "modified"), "path", "left")
 
     plan = sync.SyncPlan(
         store=store, contributor="me", describe=describe, contents=contents, attachments=attachments,
-        signatures=lambda: scan().files(), salt=b"0" * 16,
+        signatures=lambda: scan().files().unionByName(file_inventory(spark, f"{root}/*/*/tool-results/*")), salt=b"0" * 16,
     )
 
     def tick():
@@ -108,3 +109,19 @@ def test_one_bundle_for_a_repeated_id(spark, world):
         members = tables.members.read()
         assert members.count() == members.select("key", "member_name").distinct().count()
     assert spark.read.parquet(f"{plan.store}/artifacts").count() == 3
+
+
+def test_an_edited_attachment_is_published_again(spark, world):
+    write, tick, plan, folder, tmp = world
+    tick()
+    before = (folder / "s1/tool-results/out.txt").stat()
+    (folder / "s1/tool-results/out.txt").write_text("/home/alice/public! place")
+    assert (folder / "s1/tool-results/out.txt").stat().st_size == before.st_size + 1
+    (folder / "s1/tool-results/out.txt").write_text("/home/alice/openly place")
+    os.utime(folder / "s1/tool-results/out.txt", (before.st_atime, before.st_mtime + 5))
+    tables = tick()
+    assert [r.id for r in spark.read.parquet(f"{plan.store}/artifacts").where("batch_id = 1").collect()] == ["s1"]
+    bundles = {r.member_name: r.content for r in current_bundles(tables.members.read()).collect() if "s1.zip" in r.key}
+    assert bundles["tool-results/out.txt"] == "/home/[USER]/openly place"
+    staged = spark.read.parquet(f"{plan.store}/work/attached")
+    assert "content" not in staged.columns
