@@ -29,7 +29,7 @@ from sessionloom.llm.components import components
 
 WORDS, PERMUTATIONS, BAND_ROWS = 5, 128, 4
 BANDS = PERMUTATIONS // BAND_ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,12 +149,34 @@ def _alike(a: str, b: str, least: float) -> Column:
     return unequal <= F.lit(int(PERMUTATIONS * 0.75 * (1 - least)))
 
 
+def _reaches(one: Column, two: Column, percent: int) -> Column:
+    """The similarity of two full sets reaches the limit."""
+    both = F.size(F.array_intersect(one, two))
+    return 100 * both >= percent * (F.size(one) + F.size(two) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka"))
     two = sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ka", "kb")))
-    return met.where(100 * F.col("both") >= percent * (F.size("ka") + F.size("kb") - F.col("both"))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(_reaches(F.col("ka"), F.col("kb"), percent)).select("a", "b")
+
+
+def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """All links between components that share a bucket.
+
+    A document without any link meets every near copy of its group here, so these pairs are estimated and confirmed in
+    the condition of the join and only links become rows. A pair is looked at in the first band it shares."""
+    held = left.join(nodes.select("id", "bands"), "id").join(sets, "id")
+    one, two = held.alias("m"), held.alias("c")
+    first = F.array_position(F.zip_with("m.bands", "c.bands", lambda x, y: x == y), True)
+    here = F.array_position(F.col("m.bands"), F.col("m.key"))
+    met = one.join(
+        two,
+        (F.col("m.key") == F.col("c.key")) & (F.col("m.label") < F.col("c.label")) & _alike("m", "c", least) & (first == here)
+        & _reaches(F.col("m.keys"), F.col("c.keys"), percent),
+    )
+    return met.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).where("a <> b").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -180,15 +202,15 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) ->
         ).where("lo < hi")
         if step < STAR_ROUNDS:
             met = known.alias("m").join(split.select("key", "c.*").alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.label") != F.col("c.label")) & _alike("m", "c", least))
+            pairs = met.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).where("a <> b").distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = scratch.keep(pairs, f"pairs{step}")
+            tried = pairs if tried is None else tried.union(pairs)
+            good = scratch.keep(_confirm(pairs, sets, percent), f"links{step}")
         else:
             left = scratch.keep(known.join(split.select("key"), "key", "left_semi"), "left")
-            met = left.alias("m").join(left.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.label") < F.col("c.label")) & _alike("m", "c", least))
-        pairs = met.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).where("a <> b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs{step}")
-        tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.keep(_confirm(pairs, sets, percent), f"links{step}")
+            good = scratch.keep(_across(left, nodes, sets, least, percent), "across")
         confirmed = good if confirmed is None else confirmed.union(good)
         labels = components(confirmed, scratch, f"labels{step}")
     return labels
