@@ -201,3 +201,28 @@ def test_pipeline_runs_its_stages(spark, texts):
     rejected = [d for d in labels if labels[d] == 0]
     assert sum(d in kept for d in rejected) <= 0.2 * len(rejected)
     assert len(kept) > 0.6 * len(texts) and len(rows) >= len(kept)
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_duplicates_by_any_number_of_stars(spark, monkeypatch, rounds):
+    from oracle import difference
+    from sessionloom.llm import neardup
+
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", rounds)
+    assert difference(neardup.op3_near_duplicates(spark, FOLDER), FOLDER, neardup.OP3_SQL) is None
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    from sessionloom.llm import components
+
+    draw = random.Random(3)
+    edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 560)] + [(900, 900 + k) for k in range(1, 200)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    for rows in (10**6, 10):
+        monkeypatch.setattr(components, "ROWS_PER_TASK", rows)
+        found = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
+        assert {r.id: r.label for r in found} == label and len(found) == len(label)
