@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,13 +16,23 @@ REQUIRED_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings that decide results; leave sizing to the cluster."""
+    """Apply the settings that decide results; leave sizing to the cluster.
+
+    Python workers are told where this package lies, so that a driver started elsewhere can use it."""
+    _workers_find_package(spark)
     for name, value in REQUIRED_CONF.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
     return spark
 
 
+def _workers_find_package(spark: SparkSession) -> None:
+    here, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *known])
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
