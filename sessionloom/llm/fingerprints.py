@@ -113,7 +113,8 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     whole = [F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), text]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(7), *whole).alias("k2"), text.alias("text"))
     chain = scratch.keep(next_documents(keyed.select("doc_id", "k1", "k2", F.length("text").alias("n_chars")), scratch), "chain")
-    # Each row sends the beginning that is asked for and its piece digests, as bytes, to the row before it.
+    # Each row sends the beginning that is asked for and its piece digests, as bytes, to the row before it. Both joins
+    # read the same columns of the documents, so that texts are shuffled once.
     sent = keyed.join(chain, ["k1", "k2"]).select(
         F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("need")).alias("head"),
         F.unhex(F.array_join(pieces(F.col("text")), "")).alias("next_pieces"),
@@ -128,10 +129,10 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "n_chars", "next_id", "next_pieces", "x.own", "x.edited")
     trees = trees.select("*", F.explode(F.array(pieces(F.col("edited")))).alias("new"))
     sets = [_counted(F.array_join("own", "")).alias("a"), _counted(F.array_join("new", "")).alias("b"), _counted(F.lower(F.hex("next_pieces"))).alias("c")]
-    trees = trees.select("doc_id", "n_chars", "own", "new", "edited", F.explode(F.array(F.struct(*sets))).alias("s"))
+    trees = trees.select("doc_id", "n_chars", "next_id", "own", "new", "edited", F.explode(F.array(F.struct(*sets))).alias("s"))
     own, new, following = (F.col(f"s.{x}") for x in "abc")
     marks = trees.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
-                         fingerprint(F.col("new")).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, following).alias("near_next"))
+                         fingerprint(F.col("new")).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, following).alias("near_next"), F.col("next_id").alias("next_doc_id"))
     same = F.col("fingerprint") == F.col("edited_fingerprint")
     empty = F.length("fingerprint") + F.length("edited_fingerprint") == 66
     return marks.withColumn("near_edited", F.when(same, F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(F.col("near_edited")))
@@ -161,11 +162,12 @@ def _sql_likeness(one: str, two: str) -> str:
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x FROM d),
-e AS (SELECT doc_id, n, t, x, left(t, n - n // 3) || left(x, n // 3) AS edited FROM n),
-p AS (SELECT doc_id, n, edited, {_sql_pieces('t')} AS a, {_sql_pieces('edited')} AS b, {_sql_pieces('x')} AS c FROM e),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_doc_id,
+             coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x FROM d),
+e AS (SELECT doc_id, next_doc_id, n, t, x, left(t, n - n // 3) || left(x, n // 3) AS edited FROM n),
+p AS (SELECT doc_id, next_doc_id, n, edited, {_sql_pieces('t')} AS a, {_sql_pieces('edited')} AS b, {_sql_pieces('x')} AS c FROM e),
 f AS (SELECT *, {_sql_fingerprint('a')} AS fa, {_sql_fingerprint('b')} AS fb, {_sql_all('a')} AS sa, {_sql_all('b')} AS sb, {_sql_all('c')} AS sc FROM p)
-SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+SELECT doc_id, next_doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
        CASE WHEN fa = fb THEN 1.0 WHEN length(fa) + length(fb) = 66 THEN 0.0 ELSE {_sql_likeness('sa', 'sb')} END AS near_edited,
        {_sql_likeness('sa', 'sc')} AS near_next FROM f
 """
