@@ -14,6 +14,7 @@ from sessionloom.llm.quality import learn, score_column
 
 REJECT_BELOW = 0.5
 BOILERPLATE_RATIO = 0.02
+BOILERPLATE_LEAST = 3  # documents that hold a line; 2 % of a small source is less than one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source."""
-    done = drop_boilerplate(docs, F.col("source"), F.col("text"), BOILERPLATE_RATIO)
+    done = drop_boilerplate(docs, F.col("source"), F.col("text"), BOILERPLATE_RATIO, least=BOILERPLATE_LEAST)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

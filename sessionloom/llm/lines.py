@@ -2,7 +2,8 @@
 
 Rows are grouped by site. A line's ratio is the number of the site's pages that hold it, divided by the site's pages.
 Lines whose ratio exceeds a limit are boilerplate of that site and are dropped from its pages. A site needs
-`min_pages` pages before anything is boilerplate there, so a small site does not lose its only copies.
+`min_pages` pages before anything is boilerplate there, so a small site does not lose its only copies. A line needs
+`least` pages besides: with ratio * pages below 1 a line of a single page would exceed the limit.
 
 Only digests of lines are shuffled. The boilerplate lines of a site are gathered in one list: with L distinct lines
 on an average page and limit r there are at most L / r of them, however many pages the site has. A site that holds a
@@ -29,21 +30,22 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(rows: DataFrame, site: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(site, list of digests) of the lines above the ratio, for sites of at least `min_pages` rows."""
+def boilerplate(rows: DataFrame, site: str, text: str, ratio: float, min_pages: int, least: int = 1) -> DataFrame:
+    """(site, list of digests) of the lines above the ratio and on `least` pages, for sites of at least `min_pages` rows."""
     pages = rows.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), line_digest))
     held = rows.select(F.col(site).alias("s"), F.explode(digests).alias("line")).groupBy("s", "line").agg(F.count("*").alias("held"))
-    # Lines of one page only cannot exceed the limit on a site large enough, and are most of all lines.
-    often = held.where(F.col("held") > ratio * min_pages)
+    # What the smallest site's limit drops cannot exceed a larger one's. Lines of one page, most of all lines, go here
+    # if `least` is 2 or more or ratio * min_pages reaches 1.
+    often = held.where((F.col("held") > ratio * min_pages) & (F.col("held") >= least))
     joined = often.join(pages.where(F.col("pages") >= min_pages), F.col("s").eqNullSafe(F.col("site")))
     return joined.where(F.col("held") > ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, least: int = 1) -> DataFrame:
     """(row: all columns as they came, text: what is left, n_lines, n_dropped)."""
     keyed = rows.select(F.struct("*").alias("row"), site.alias("s"), text.alias("t"))
-    listed = boilerplate(keyed.select("s", "t"), "s", "t", ratio, min_pages)
+    listed = boilerplate(keyed.select("s", "t"), "s", "t", ratio, min_pages, least)
     joined = keyed.join(listed, F.col("s").eqNullSafe(F.col("site")), "left")
     cut = F.transform(_lines(F.col("t")), lambda x: F.struct(x.alias("line"), line_digest(x).alias("digest")))
     # Digests of the page that are boilerplate: a hash set lookup per line, then a short list.
