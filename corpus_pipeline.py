@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source."""
-    done = drop_boilerplate(docs, F.col("source"), F.col("text"), BOILERPLATE_RATIO, least=BOILERPLATE_LEAST)
+    """Texts without the boilerplate lines of their source. Copies, which are still there, do not make a line boilerplate."""
+    scratch = Scratch(spark, "lines")
+    done = drop_boilerplate(docs, F.col("source"), F.col("text"), BOILERPLATE_RATIO, least=BOILERPLATE_LEAST, scratch=scratch)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

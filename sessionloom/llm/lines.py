@@ -9,6 +9,11 @@ Only digests of lines are shuffled. The boilerplate lines of a site are gathered
 on an average page and limit r there are at most L / r of them, however many pages the site has. A site that holds a
 third of all rows costs no more, since counts are combined before the shuffle and the planner may split the join.
 
+On request copies are not counted (`without_copies`): else a group of copies above the limit has each of its lines
+dropped, and with them the last copy of its text. A page that mostly repeats other pages stays whole but for lines that
+pages of their own show to be boilerplate; which copy stays is for a later stage to decide. So a site on which every page is
+three quarters menu keeps its menus.
+
 Defined results: a line is compared as it stands without spaces at its ends; empty lines are no lines and stay. A
 null text stays null and its row still counts as a page. Rows without a site form one site. Repeated rows count as
 pages of their own. Extra columns pass through untouched. An empty table gives an empty table.
@@ -19,7 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.common import Scratch
+
 RATIO, MIN_PAGES = 0.02, 20
+COPY_PERCENT = 75  # the similarity at which near_duplicates links two texts
 
 
 def line_digest(line: Column) -> Column:
@@ -42,10 +50,48 @@ def boilerplate(rows: DataFrame, site: str, text: str, ratio: float, min_pages:
     return joined.where(F.col("held") > ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, least: int = 1) -> DataFrame:
-    """(row: all columns as they came, text: what is left, n_lines, n_dropped)."""
+def _runs(text: Column) -> Column:
+    """Distinct hashes of the runs of five words; a shorter text is one run. The words are bound once, as an array of one."""
+    words = F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
+    return F.array_distinct(F.transform(F.array(words), of)[0])
+
+
+def without_copies(rows: DataFrame, listed: DataFrame, ratio: float, least: int, scratch: Scratch) -> DataFrame:
+    """(site, lines) of `listed` that stay boilerplate when copies are no pages of their own.
+
+    `rows` is (s, t), `listed` the boilerplate by pages as they are. Equal texts of a site are one page. A page is a near
+    copy if runs of five words that stand on more than half the limit of pages make up COPY_PERCENT of it; such pages
+    neither count nor speak for a line. Only pages with a listed line are looked at in full."""
+    # The site is part of the keys, so that no aggregate is done where a join by site has put its rows.
+    keyed = rows.select("s", "t", F.xxhash64("s", "t").alias("ka"), F.xxhash64(F.lit(7), "s", "t").alias("kb"))
+    distinct = keyed.select("s", "ka", "kb").distinct().groupBy("s").agg(F.count("*").alias("texts"))
+    sizes = rows.groupBy("s").agg(F.count("*").alias("pages"))
+    found = F.array_intersect(F.transform(_lines(F.col("t")), line_digest), F.col("lines"))
+    held = keyed.join(listed, F.col("s").eqNullSafe(F.col("site"))).select("s", "ka", "kb", "t", F.explode(F.array(found)).alias("found"))
+    once = held.where(F.size("found") > 0).groupBy("ka", "kb").agg(F.first(F.struct("s", "t", "found")).alias("p"))
+    pages = scratch.keep(once.select("p.s", "p.found", _runs(F.col("p.t")).alias("runs")), "held")
+
+    counts = pages.select("s", F.explode("runs").alias("run")).groupBy("s", "run").agg(F.count("*").alias("n")).where("n > 1")
+    often = counts.join(sizes.withColumnRenamed("s", "site"), F.col("s").eqNullSafe(F.col("site"))).where(2 * F.col("n") > ratio * F.col("pages"))
+    common = often.groupBy("site").agg(F.collect_list("run").alias("common"))
+    met = F.coalesce(F.size(F.array_intersect("runs", "common")), F.lit(0))
+    judged = scratch.keep(
+        pages.join(common, F.col("s").eqNullSafe(F.col("site")), "left").select("s", "found", (100 * met >= COPY_PERCENT * F.size("runs")).alias("copy")), "judged"
+    )
+    copies = judged.where("copy").groupBy(F.col("s").alias("c")).agg(F.count("*").alias("copies"))
+    own = distinct.join(copies, F.col("s").eqNullSafe(F.col("c")), "left").select(F.col("s").alias("site"), (F.col("texts") - F.coalesce("copies", F.lit(0))).alias("own"))
+    lines = judged.where("NOT copy").select("s", F.explode("found").alias("line")).groupBy("s", "line").agg(F.count("*").alias("held"))
+    stays = lines.where(F.col("held") >= least).join(own, F.col("s").eqNullSafe(F.col("site"))).where(F.col("held") > ratio * F.col("own"))
+    return stays.groupBy("site").agg(F.collect_list("line").alias("lines"))
+
+
+def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, least: int = 1, scratch: Scratch | None = None) -> DataFrame:
+    """(row: all columns as they came, text: what is left, n_lines, n_dropped). With `scratch`, copies are not counted."""
     keyed = rows.select(F.struct("*").alias("row"), site.alias("s"), text.alias("t"))
     listed = boilerplate(keyed.select("s", "t"), "s", "t", ratio, min_pages, least)
+    if scratch is not None:
+        listed = without_copies(keyed.select("s", "t"), scratch.keep(listed, "listed"), ratio, least, scratch)
     joined = keyed.join(listed, F.col("s").eqNullSafe(F.col("site")), "left")
     cut = F.transform(_lines(F.col("t")), lambda x: F.struct(x.alias("line"), line_digest(x).alias("digest")))
     # Digests of the page that are boilerplate: a hash set lookup per line, then a short list.

@@ -1,5 +1,6 @@
 """The pipeline's line stage on small sources and on sources with copies."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -39,3 +40,32 @@ def test_no_text_is_lost_at_a_hundredth(spark):
         assert r.text.strip() or not before[r.doc_id].text.strip()
         dropped += len(gone)
     assert 0 < dropped < 0.1 * sum(len(r.text.split("\n")) for r in before.values())
+
+
+def words(draw, n):
+    return " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("near", [False, True])
+@pytest.mark.parametrize("lines", [2, 12])
+def test_one_of_a_large_group_of_copies_stays(spark, near, lines):
+    """A third of a source are copies, near ones with one word of one line changed; every document has the menu."""
+    draw = random.Random(7)
+    copied = [words(draw, 120 // lines) for _ in range(lines)]
+    texts = []
+    for k in range(90):
+        own = [words(draw, 12) for _ in range(5)]
+        if k % 3 == 1:
+            own = list(copied)
+            if near:
+                at = draw.randrange(lines)
+                parts = own[at].split(" ")
+                parts[draw.randrange(len(parts))] = f"edit{k}"
+                own[at] = " ".join(parts)
+        texts.append("\n".join(["home about contact", *own]))
+    docs = frame(spark, texts)
+    left = corpus_pipeline.lines(spark, docs, "").cache()
+    bare = {k: t.split("\n", 1)[1] for k, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in left.collect()} == bare
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_copies(spark, left, "").collect()}
+    assert kept == {k: bare[k] for k in range(90) if k % 3 != 1 or k == 1}
