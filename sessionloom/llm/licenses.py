@@ -77,8 +77,13 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
-# Patterns that Java and RE2 read alike. Sentences end a unit as lines do.
-_COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
+# A line that begins with the word is a copyright line unless the word belongs to a sentence of a license, which depends
+# on where lines are broken: "copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE".
+_SENTENCE_WORDS = "notices?|holders?|owners?|laws?|statements?|interests?"
+_COPYRIGHT = rf"(?im)^[^\p{{L}}\p{{N}}\n]*(?:copyright(?![ \t]+(?:{_SENTENCE_WORDS})\b(?![ \t]*:))|\(c\)|©)[^\n]*$"
+# Patterns that Java and RE2 read alike. Sentences end a unit as lines do. The SQL takes every line that begins with the
+# word for a copyright line; it differs on texts with a license broken that way.
+_SQL_COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
 _SENTENCE = r"([.!?])[ \t]+"
 _MARKS = r"[^\p{L}\p{N}\n]+"
 
@@ -140,7 +145,7 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), '{_COPYRIGHT}', '', 'g')"
+    out = f"regexp_replace(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), '{_SQL_COPYRIGHT}', '', 'g')"
     out = f"lower(regexp_replace({out}, '{_SENTENCE}', '\\1' || chr(10), 'g'))"
     out = f"regexp_replace(regexp_replace({out}, '{_MARKS}', ' ', 'g'), '(?m)^ +| +$', '', 'g')"
     for other, usual in EQUIVALENT:
