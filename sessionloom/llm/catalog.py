@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sessionloom.llm.clustering import OP12_SQL, op12_clusters
 from sessionloom.llm.fingerprints import OP5_SQL, op5_fingerprints
 from sessionloom.llm.language import op2_language
 from sessionloom.llm.licenses import OP8_SQL, op8_licenses
@@ -12,6 +13,7 @@ from sessionloom.llm.pieces import op6_pieces
 from sessionloom.llm.quality import op10_quality
 from sessionloom.llm.substrings import op7_substrings
 from sessionloom.llm.vectors import OP9_SQL, op9_near_vectors
+from sessionloom.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_near_vectors": op9_near_vectors,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_clusters": op12_clusters,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -31,4 +35,5 @@ ORACLES = {
     "op5_fingerprints": OP5_SQL,
     "op8_licenses": OP8_SQL,
     "op9_near_vectors": OP9_SQL,
+    "op12_clusters": OP12_SQL,
 }
