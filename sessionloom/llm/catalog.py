@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sessionloom.llm.clustering import OP12_SQL, op12_clusters
+from sessionloom.llm.extraction import op13_main_text
 from sessionloom.llm.fingerprints import OP5_SQL, op5_fingerprints
 from sessionloom.llm.language import op2_language
 from sessionloom.llm.licenses import OP8_SQL, op8_licenses
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
     "op12_clusters": op12_clusters,
+    "op13_main_text": op13_main_text,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
