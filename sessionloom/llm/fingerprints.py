@@ -1,14 +1,15 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces of paragraphs.
 
-Paragraphs are lines. A paragraph falls into pieces that end where a word ends in one of a few letters or marks, so a
-change moves no other border. A section ends with a paragraph whose digest begins with 0 or 1, one in eight. A
-paragraph's digest is taken over those of its pieces, a section's over its paragraphs', the root over the sections'.
-Equal roots mean equal texts; where roots differ, only sections with different digests need a look, and in them only
+Paragraphs are lines, the leaves of the tree. A section ends with a paragraph whose digest begins with 0 or 1, one in eight.
+A section's digest is taken over its paragraphs', the root over the sections'; all digests of the tree are whole, 128 bits, so
+equal roots mean equal texts. Where roots differ, only sections with different digests need a look, and in them only
 paragraphs with different digests.
 
-A fingerprint is the root followed by the pieces' digests, paragraph by paragraph; all levels between follow from
-these. Likeness of two fingerprints is the share of piece digests they have in common: twice the common ones over the
-sum of both, where a digest counts as often as it stands in both.
+A fingerprint is the root followed by a sketch for likeness: short digests of pieces, paragraph by paragraph. A piece ends where
+a word ends in one of a few letters or marks, or after some characters of scripts without spaces, so a change moves no other
+border. Likeness of two fingerprints is the share of piece digests they have in common: twice the common ones over the
+sum of both, where a digest counts as often as it stands in both. Pieces' digests are short, so two texts in 2^32 of one
+piece seem alike; their roots still differ.
 
 Everything here is column expressions. Defined results: null is the empty text, which has one empty paragraph and no
 piece. Two texts without pieces are alike exactly when they are equal. In the order for "next document" a null id
@@ -23,35 +24,43 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import Scratch
 
-PIECE = r"(?s).*?[nsNS.,!?;:][ \t]+|.+\z"
-SECTION = r"(?:[2-9a-f][0-9a-f]{7} )*[01][0-9a-f]{7} |(?:[2-9a-f][0-9a-f]{7} )+"
+# Marks of East Asian scripts, a few frequent kana, one ideograph in eight, the vowels that begin a Thai syllable.
+_ENDERS = r"\x{3001}\x{3002}\x{ff01}\x{ff0c}\x{ff1a}\x{ff1b}\x{ff1f}\x{304c}\x{306b}\x{306e}\x{306f}\x{3092}\x{4e00}-\x{58ff}\x{0e40}-\x{0e44}"
+PIECE = rf"(?s).*?(?:[nsNS.,!?;:][ \t]+|[{_ENDERS}])|.+\z"
+SECTION = r"(?:[2-9a-f][0-9a-f]{31} )*[01][0-9a-f]{31} |(?:[2-9a-f][0-9a-f]{31} )+"
 
 
 def _short(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 8)
 
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
 def pieces(text: Column) -> Column:
-    """Piece digests of each paragraph, joined to one string per paragraph."""
-    return F.transform(
-        F.split(text, "\n", -1), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), _short), "")
-    )
+    """Short piece digests of each paragraph, joined to one string per paragraph."""
+    return F.transform(_lines(text), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), _short), ""))
 
 
-def paragraphs(leaves: Column) -> Column:
-    """Paragraph digests from their pieces'."""
-    return F.transform(leaves, _short)
+def paragraphs(text: Column) -> Column:
+    """Digests of the paragraphs."""
+    return F.transform(_lines(text), lambda line: F.md5(line.cast("binary")))
 
 
-def sections(leaves: Column) -> Column:
+def sections(text: Column) -> Column:
     """Section digests: runs of paragraph digests, cut by their content."""
-    joined = F.concat(F.array_join(paragraphs(leaves), " "), F.lit(" "))
-    return F.transform(F.regexp_extract_all(joined, F.lit(SECTION), F.lit(0)), _short)
+    joined = F.concat(F.array_join(paragraphs(text), " "), F.lit(" "))
+    return F.transform(F.regexp_extract_all(joined, F.lit(SECTION), F.lit(0)), lambda s: F.md5(s.cast("binary")))
+
+
+def root(text: Column) -> Column:
+    return F.md5(F.array_join(sections(text), " ").cast("binary"))
 
 
-def fingerprint(leaves: Column) -> Column:
-    """Root, then the pieces."""
-    return F.concat(F.md5(F.array_join(sections(leaves), " ").cast("binary")), F.lit(":"), F.array_join(leaves, "/"))
+def fingerprint(text: Column, leaves: Column | None = None) -> Column:
+    """Root, then the pieces (`leaves`, where they are known)."""
+    return F.concat(root(text), F.lit(":"), F.array_join(pieces(text) if leaves is None else leaves, "/"))
 
 
 def _counted(joined: Column) -> Column:
@@ -78,13 +87,13 @@ def fingerprint_likeness(one: Column, two: Column) -> Column:
 
 
 def changed_paragraphs(one: Column, two: Column) -> Column:
-    """Numbers (from 0) of paragraphs of the second text whose digest the first one lacks, from both texts' pieces.
+    """Numbers (from 0) of paragraphs of the second text whose digest the first one lacks.
 
     Equal roots need no look below."""
     old, new = paragraphs(one), paragraphs(two)
     fresh = F.array_except(new, old)
     numbered = F.filter(F.transform(new, lambda p, k: F.when(F.array_contains(fresh, p), k)), lambda k: k.isNotNull())
-    return F.when(fingerprint(one) == fingerprint(two), F.array().cast("array<int>")).otherwise(numbered)
+    return F.when(root(one) == root(two), F.array().cast("array<int>")).otherwise(numbered)
 
 
 def next_documents(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -125,14 +134,14 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), length - third), F.col("head"))
     # Trees are taken once each, behind a generator, so that they are not substituted into every use.
     trees = met.select(
-        "doc_id", "n_chars", "next_id", "next_pieces", F.explode(F.array(F.struct(pieces(F.col("text")).alias("own"), edited.alias("edited")))).alias("x")
-    ).select("doc_id", "n_chars", "next_id", "next_pieces", "x.own", "x.edited")
+        "doc_id", "n_chars", "next_id", "next_pieces", F.explode(F.array(F.struct(root(F.col("text")).alias("root"), pieces(F.col("text")).alias("own"), edited.alias("edited")))).alias("x")
+    ).select("doc_id", "n_chars", "next_id", "next_pieces", "x.root", "x.own", "x.edited")
     trees = trees.select("*", F.explode(F.array(pieces(F.col("edited")))).alias("new"))
     sets = [_counted(F.array_join("own", "")).alias("a"), _counted(F.array_join("new", "")).alias("b"), _counted(F.lower(F.hex("next_pieces"))).alias("c")]
-    trees = trees.select("doc_id", "n_chars", "next_id", "own", "new", "edited", F.explode(F.array(F.struct(*sets))).alias("s"))
+    trees = trees.select("doc_id", "n_chars", "next_id", "root", "own", "new", "edited", F.explode(F.array(F.struct(*sets))).alias("s"))
     own, new, following = (F.col(f"s.{x}") for x in "abc")
-    marks = trees.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
-                         fingerprint(F.col("new")).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, following).alias("near_next"), F.col("next_id").alias("next_doc_id"))
+    marks = trees.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.concat("root", F.lit(":"), F.array_join("own", "/")).alias("fingerprint"),
+                         fingerprint(F.col("edited"), F.col("new")).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, following).alias("near_next"), F.col("next_id").alias("next_doc_id"))
     same = F.col("fingerprint") == F.col("edited_fingerprint")
     empty = F.length("fingerprint") + F.length("edited_fingerprint") == 66
     return marks.withColumn("near_edited", F.when(same, F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(F.col("near_edited")))
@@ -144,9 +153,9 @@ def _sql_pieces(text: str) -> str:
             f"regexp_extract_all(line, '{piece}'), lambda p: md5(p)[1:8]), ''))")
 
 
-def _sql_fingerprint(leaves: str) -> str:
-    digests = f"array_to_string(list_transform({leaves}, lambda p: md5(p)[1:8]), ' ') || ' '"
-    parts = f"list_transform(regexp_extract_all({digests}, '{SECTION}'), lambda s: md5(s)[1:8])"
+def _sql_fingerprint(text: str, leaves: str) -> str:
+    digests = f"array_to_string(list_transform(string_split({text}, chr(10)), lambda p: md5(p)), ' ') || ' '"
+    parts = f"list_transform(regexp_extract_all({digests}, '{SECTION}'), lambda s: md5(s))"
     return f"md5(array_to_string({parts}, ' ')) || ':' || array_to_string({leaves}, '/')"
 
 
@@ -165,8 +174,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_doc_id,
              coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x FROM d),
 e AS (SELECT doc_id, next_doc_id, n, t, x, left(t, n - n // 3) || left(x, n // 3) AS edited FROM n),
-p AS (SELECT doc_id, next_doc_id, n, edited, {_sql_pieces('t')} AS a, {_sql_pieces('edited')} AS b, {_sql_pieces('x')} AS c FROM e),
-f AS (SELECT *, {_sql_fingerprint('a')} AS fa, {_sql_fingerprint('b')} AS fb, {_sql_all('a')} AS sa, {_sql_all('b')} AS sb, {_sql_all('c')} AS sc FROM p)
+p AS (SELECT doc_id, next_doc_id, n, t, edited, {_sql_pieces('t')} AS a, {_sql_pieces('edited')} AS b, {_sql_pieces('x')} AS c FROM e),
+f AS (SELECT *, {_sql_fingerprint('t', 'a')} AS fa, {_sql_fingerprint('edited', 'b')} AS fb, {_sql_all('a')} AS sa, {_sql_all('b')} AS sb, {_sql_all('c')} AS sc FROM p)
 SELECT doc_id, next_doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
        CASE WHEN fa = fb THEN 1.0 WHEN length(fa) + length(fb) = 66 THEN 0.0 ELSE {_sql_likeness('sa', 'sb')} END AS near_edited,
        {_sql_likeness('sa', 'sc')} AS near_next FROM f

@@ -1,9 +1,9 @@
 """Line dedup by site-relative frequency.
 
 Rows are grouped by site. A line's ratio is the number of the site's pages that hold it, divided by the site's pages.
-Lines whose ratio exceeds a limit are boilerplate of that site and are dropped from its pages. A site needs
-`min_pages` pages before anything is boilerplate there, so a small site does not lose its only copies. A line needs
-`least` pages besides: with ratio * pages below 1 a line of a single page would exceed the limit.
+Lines whose ratio exceeds a limit are boilerplate of that site and are dropped from its pages. A line needs `least` pages
+besides, as on a small site ratio * pages is below 1 and a line of a single page would exceed the limit. No site is
+too small to be cleaned: a menu on all three pages of a site goes.
 
 Only digests of lines are shuffled. The boilerplate lines of a site are gathered in one list: with L distinct lines
 on an average page and limit r there are at most L / r of them, however many pages the site has. A site that holds a
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import Scratch
 
-RATIO, MIN_PAGES = 0.02, 20
+RATIO, LEAST = 0.02, 3  # of a site's pages, and pages at least, that hold a boilerplate line
 COPY_PERCENT = 75  # the similarity at which near_duplicates links two texts
 
 
@@ -38,15 +38,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(rows: DataFrame, site: str, text: str, ratio: float, min_pages: int, least: int = 1) -> DataFrame:
-    """(site, list of digests) of the lines above the ratio and on `least` pages, for sites of at least `min_pages` rows."""
+def boilerplate(rows: DataFrame, site: str, text: str, ratio: float, least: int = LEAST) -> DataFrame:
+    """(site, list of digests) of the lines above the ratio and on `least` pages."""
     pages = rows.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), line_digest))
     held = rows.select(F.col(site).alias("s"), F.explode(digests).alias("line")).groupBy("s", "line").agg(F.count("*").alias("held"))
-    # What the smallest site's limit drops cannot exceed a larger one's. Lines of one page, most of all lines, go here
-    # if `least` is 2 or more or ratio * min_pages reaches 1.
-    often = held.where((F.col("held") > ratio * min_pages) & (F.col("held") >= least))
-    joined = often.join(pages.where(F.col("pages") >= min_pages), F.col("s").eqNullSafe(F.col("site")))
+    often = held.where(F.col("held") >= least)  # without the lines of one page, most of all lines
+    joined = often.join(pages, F.col("s").eqNullSafe(F.col("site")))
     return joined.where(F.col("held") > ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
@@ -86,10 +84,10 @@ def without_copies(rows: DataFrame, listed: DataFrame, ratio: float, least: int,
     return stays.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, least: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def drop_boilerplate(rows: DataFrame, site: Column, text: Column, ratio: float = RATIO, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """(row: all columns as they came, text: what is left, n_lines, n_dropped). With `scratch`, copies are not counted."""
     keyed = rows.select(F.struct("*").alias("row"), site.alias("s"), text.alias("t"))
-    listed = boilerplate(keyed.select("s", "t"), "s", "t", ratio, min_pages, least)
+    listed = boilerplate(keyed.select("s", "t"), "s", "t", ratio, least)
     if scratch is not None:
         listed = without_copies(keyed.select("s", "t"), scratch.keep(listed, "listed"), ratio, least, scratch)
     joined = keyed.join(listed, F.col("s").eqNullSafe(F.col("site")), "left")
@@ -131,7 +129,7 @@ def host(url: Column) -> Column:
 
 
 def op1_line_dedup(spark, folder: str) -> DataFrame:
-    """Pages without the boilerplate lines of their host."""
+    """Pages without the lines that stand on more than one in twenty of their host's pages, and on three at least."""
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     done = drop_boilerplate(pages.select("page_id", "url", "html"), host(F.col("url")), page_lines(F.col("html")), ratio=0.05)
     return done.select(
@@ -154,7 +152,7 @@ WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{_HOST}', 1)), '')
 l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM p),
 n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 f AS (SELECT l.host, trim(line, ' ') AS key FROM l JOIN n ON l.host IS NOT DISTINCT FROM n.host WHERE trim(line, ' ') <> ''
-      GROUP BY 1, 2 HAVING any_value(pages) >= {MIN_PAGES} AND count(DISTINCT r) > 0.05 * any_value(pages)),
+      GROUP BY 1, 2 HAVING count(DISTINCT r) >= {LEAST} AND count(DISTINCT r) > 0.05 * any_value(pages)),
 k AS (SELECT l.*, f.key IS NOT NULL AS dropped FROM l LEFT JOIN f ON l.host IS NOT DISTINCT FROM f.host AND trim(line, ' ') = f.key),
 g AS (SELECT r, count(*) FILTER (WHERE trim(line, ' ') <> '') AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
              string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) AS text FROM k GROUP BY r)

@@ -87,7 +87,7 @@ def test_scores_of_odd_texts(spark, folder):
 def test_lines(spark):
     rows = [(k, "same line\nonly %d" % k, "a") for k in range(30)] + [(90, None, "a"), (91, "same line", "b"), (92, "\n\n", None), (93, " same line \nx", "a")]
     frame = spark.createDataFrame(rows, "id int, text string, row string")
-    done = {r["row"]["id"]: r for r in lines.drop_boilerplate(frame, F.col("row"), F.col("text"), 0.5, 10).collect()}
+    done = {r["row"]["id"]: r for r in lines.drop_boilerplate(frame, F.col("row"), F.col("text"), 0.5).collect()}
     assert done[3]["text"] == "only 3" and done[3]["n_lines"] == 2 and done[3]["n_dropped"] == 1
     assert done[90]["text"] is None and done[91]["text"] == "same line" and done[92]["text"] == "\n\n" and done[93]["text"] == "x"
     assert lines.drop_boilerplate(frame.limit(0), F.col("row"), F.col("text")).count() == 0

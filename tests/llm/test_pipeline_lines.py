@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sessionloom.llm.common import documents
+from sessionloom.llm.lines import drop_boilerplate
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,6 +24,22 @@ def test_small_sources_keep_their_lines(spark, pages):
     assert left == {k: f"own line {k} of this page\nshared by two {k // 2}" for k in range(pages)}
 
 
+@pytest.mark.parametrize("pages", [2, 5, 20, 30, 49])
+def test_defaults_keep_what_stands_on_one_page_or_two(spark, pages):
+    texts = [f"menu of the site\nown line {k} of this page\nshared by two {k // 2}" for k in range(pages)]
+    done = drop_boilerplate(frame(spark, texts), F.col("source"), F.col("text")).collect()
+    menu = "" if pages >= 3 else "menu of the site\n"
+    assert {r.row.doc_id: r.text for r in done} == {k: f"{menu}own line {k} of this page\nshared by two {k // 2}" for k in range(pages)}
+
+
+def test_texts_of_one_id_all_stay(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("lake", "hill", "road"))
+    rows = [(1, one), (1, two), (2, three), (2, three), (3, three), (None, "a text without an id that is only here"), (None, two), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, one), (1, two), (2, three), (None, "a text without an id that is only here"), (4, "")], key=str)
+
+
 def test_no_text_is_lost_at_a_hundredth(spark):
     folder = "/root/testdata/sf0.01"
     docs = documents(spark, folder)
