@@ -32,11 +32,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id, once. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own_id"), F.struct("*").alias("row"))
-    first = rows.join(kept, F.col("own_id") == F.col("kept_id")).dropDuplicates(["own_id"]).select("row.*")
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies: the one with the least id. Of rows equal in id and text one stays.
+
+    A further text of an id is a document of its own, and so is a text without an id: their keys are hashes above all usual
+    ids, those without an id last."""
+    scratch = Scratch(spark, "copies")
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64(F.lit(5), F.coalesce("text", F.lit(""))).alias("mark"), F.struct("*").alias("row"))
+    several = rows.groupBy("own_id").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last AND own_id IS NOT NULL")
+    several = scratch.keep(several.select(F.col("own_id").alias("several"), "first"), "several")
+    other = F.xxhash64("own_id", "mark").bitwiseAND(F.lit((1 << 61) - 1)) + F.when(F.col("own_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(1 << 61))
+    further = F.col("own_id").isNull() | (F.col("mark") != F.coalesce("first", "mark"))
+    keyed = rows.join(several, F.col("own_id") == F.col("several"), "left").select(F.when(further, other).otherwise(F.col("own_id").cast("long")).alias("key"), "row")
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return keyed.join(kept, F.col("key") == F.col("kept_id")).dropDuplicates(["key"]).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
