@@ -150,9 +150,11 @@ def _alike(a: str, b: str, least: float) -> Column:
 
 
 def _reaches(one: Column, two: Column, percent: int) -> Column:
-    """The similarity of two full sets reaches the limit."""
-    both = F.size(F.array_intersect(one, two))
-    return 100 * both >= percent * (F.size(one) + F.size(two) - both)
+    """The similarity of two full sets reaches the limit; sizes are compared first, as most pairs fail there or not at all.
+
+    The intersection stands here once: an expression used twice would be computed before the conditions that guard it."""
+    small, large = F.least(F.size(one), F.size(two)), F.greatest(F.size(one), F.size(two))
+    return (100 * small >= percent * large) & ((100 + percent) * F.size(F.array_intersect(one, two)) >= percent * (F.size(one) + F.size(two)))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
