@@ -68,7 +68,8 @@ def incremental_sync(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sync_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Two files for each id, three batches of which the second is idle: what each file's state is and what its key holds."""
+    """Two files for each id, four batches of which the second and the last are idle: what each file's state is, what its key
+    holds, and how many rows the idle batches have written."""
     docs = _path(table(spark, folder, "documents"))
     base = work_folder(spark, "repeated")
     store, changes = f"{base}/store", f"{base}/changes"
@@ -94,21 +95,59 @@ def sync_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
 
         return sync.SyncPlan(store=store, contributor="me", describe=describe, contents=contents, salt=CHECK_SALT)
 
-    for round_no in (0, 0, 1):
+    tables, idle = sync.Tables(spark, store), 0
+    for step, round_no in enumerate((0, 0, 1, 1)):
         inventory(docs, round_no).write.mode("append").parquet(changes)
         sync.start(spark, plan(round_no == 1), changes, f"{base}/progress").awaitTermination()
+        if step in (1, 3):
+            idle += tables.state.head().written + tables.objects.head().written
 
-    tables = sync.Tables(spark, store)
     objects = tables.objects.read().groupBy("key").agg(F.count("*").alias("objects"))
     members = tables.members.read().groupBy("key").agg(F.count("*").alias("members"), F.max("batch_id").alias("batch_id"))
     records = tables.state.read()
     files = records.groupBy("key").agg(F.count("*").alias("records"))
     joined = records.join(objects, "key").join(members, "key").join(files, "key")
     number = F.regexp_extract("path", r"/d/(\d+)\.jsonl", 1).cast("bigint")
-    return joined.select(number.alias("doc_id"), "state", "source_hash", "objects", "members", "records", "batch_id")
+    return joined.select(number.alias("doc_id"), "state", "source_hash", "objects", "members", "records", "batch_id", F.lit(idle).cast("bigint").alias("idle_rows"))
+
+
+def sync_partial_write(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, then a batch in which one in a hundred has changed: states as a full run has them, and the rows that
+    each batch wrote to sessions, state and objects."""
+    docs = _path(table(spark, folder, "documents"))
+    base = work_folder(spark, "partial")
+    store, changes = f"{base}/store", f"{base}/changes"
+    edited = F.col("doc_id") % 100 == 0
+
+    def inventory(rows: DataFrame, round_no: int) -> DataFrame:
+        return rows.select("path", (F.col("n_chars") + round_no).alias("size"), F.timestamp_seconds(F.lit(1_700_000_000 + round_no)).alias("modified"))
+
+    def describe(changed: DataFrame) -> DataFrame:
+        return docs.join(changed, "path").select(
+            F.lit("codex").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
+            F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
+            F.left("text", F.lit(20)).alias("first_message"), F.col("source").alias("project_label"),
+            F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
+        )
+
+    def plan(second: bool) -> sync.SyncPlan:
+        text = F.when(edited & F.lit(second), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+
+        def contents(paths: DataFrame) -> DataFrame:
+            return docs.join(paths, "path", "left_semi").select("path", text.cast("binary").alias("content"))
+
+        return sync.SyncPlan(store=store, contributor="me", describe=describe, contents=contents, salt=CHECK_SALT)
+
+    tables, written = sync.Tables(spark, store), []
+    for round_no in (0, 1):
+        inventory(docs.where(edited | F.lit(round_no == 0)), round_no).write.mode("append").parquet(changes)
+        sync.start(spark, plan(round_no == 1), changes, f"{base}/progress").awaitTermination()
+        written.append([t.head().written for t in (tables.sessions, tables.state, tables.objects)])
+    counts = [F.lit(n).cast("bigint").alias(f"{name}_{k}") for k, row in enumerate(written) for name, n in zip(("sessions", "state", "objects"), row, strict=True)]
+    return tables.state.read().select(F.col("session").cast("bigint").alias("doc_id"), "state", "source_hash", *counts)
 
 
-QUERIES = {"incremental_sync": incremental_sync, "sync_repeated_ids": sync_repeated_ids}
+QUERIES = {"incremental_sync": incremental_sync, "sync_repeated_ids": sync_repeated_ids, "sync_partial_write": sync_partial_write}
 _EMAIL = r"(^|[^A-Za-z0-9._%+\-\\@])([A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24})"
 _SECRET = r"""(?i)((?:password|passwd|secret|token|api_key|apikey|access_key)\s*[=:]\s*["''])([^"'']{8,})(["''])"""
 ORACLES = {
@@ -119,12 +158,17 @@ ORACLES = {
     length(regexp_replace(regexp_replace(t, '{_SECRET}', '\\1' || repeat('m', 16) || '\\3', 'g'), '{_EMAIL}', '\\1[EMAIL]', 'g'))::INTEGER AS characters,
     NULL::VARCHAR AS error FROM d""",
     "sync_repeated_ids": """
-  WITH d AS (SELECT doc_id, doc_id // 2 AS id, text, text || CASE WHEN doc_id % 8 = 1 THEN '!' ELSE '' END AS t,
+  WITH d AS (SELECT doc_id, doc_id // 2 AS id, text || CASE WHEN doc_id % 8 = 1 THEN '!' ELSE '' END AS t,
                     '/d/' || doc_id || '.jsonl' AS path FROM documents),
-  h AS (SELECT *, sha256(encode('source-v5') || unhex('00') || encode(t)) AS own FROM d),
-  w AS (SELECT id, max_by(doc_id, path) AS winner, max_by(own, path) AS hash, max_by(doc_id % 8 = 1, path) AS again, count(*) AS n FROM h GROUP BY id)
-  SELECT doc_id, CASE WHEN again OR own = hash THEN 'current' ELSE 'changed' END AS state,
-    CASE WHEN again THEN hash ELSE own END AS source_hash, 1::BIGINT AS objects, CASE WHEN again THEN 4 ELSE 2 END::BIGINT AS members,
-    n AS records, CASE WHEN again THEN 2 ELSE 0 END::BIGINT AS batch_id
-  FROM h JOIN w ON h.id = w.id""",
+  w AS (SELECT id, max_by(doc_id, path) AS winner, max_by(doc_id % 8 = 1, path) AS again, count(*) AS n FROM d GROUP BY id)
+  SELECT doc_id, CASE WHEN doc_id = winner THEN 'current' ELSE 'not_uploaded' END AS state,
+    CASE WHEN doc_id = winner THEN sha256(encode('source-v5') || unhex('00') || encode(t)) END AS source_hash, 1::BIGINT AS objects,
+    CASE WHEN again THEN 4 ELSE 2 END::BIGINT AS members, n AS records, CASE WHEN again THEN 2 ELSE 0 END::BIGINT AS batch_id, 0::BIGINT AS idle_rows
+  FROM d JOIN w ON d.id = w.id""",
+    "sync_partial_write": """
+  WITH n AS (SELECT count(*) AS everything, count(*) FILTER (doc_id % 100 = 0) AS edited FROM documents)
+  SELECT doc_id, 'current' AS state,
+    sha256(encode('source-v5') || unhex('00') || encode(text || CASE WHEN doc_id % 100 = 0 THEN '!' ELSE '' END)) AS source_hash,
+    everything AS sessions_0, everything AS state_0, everything AS objects_0, edited AS sessions_1, edited AS state_1, edited AS objects_1
+  FROM documents, n""",
 }

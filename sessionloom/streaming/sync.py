@@ -19,7 +19,7 @@ from sessionloom.operators import package, projects, snapshot
 from sessionloom.operators import status as st
 from sessionloom.operators.joins import lookup
 from sessionloom.operators.launch import inherit_launch_kind
-from sessionloom.sources.store import BatchTable, VersionedTable
+from sessionloom.sources.store import BatchTable, KeyedTable
 from sessionloom.session import configure
 
 CHANGE_SCHEMA = "path string, size bigint, modified timestamp"
@@ -66,13 +66,16 @@ class SyncPlan:
     stoplist: Sequence[str] = ()
     policy: str = package.POLICY
     salt: bytes = field(default_factory=new_salt, repr=False)
+    buckets: int = KeyedTable.BUCKETS  # of sessions, state and objects, for a new store
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, store: str):
-        self.sessions = VersionedTable(spark, f"{store}/sessions", SESSION_SCHEMA)
-        self.state = VersionedTable(spark, f"{store}/state", st.STATE_SCHEMA)
-        self.objects = VersionedTable(spark, f"{store}/objects", OBJECT_SCHEMA)
+    """Sessions, state and objects are changed by key: a batch writes what it has changed."""
+
+    def __init__(self, spark: SparkSession, store: str, buckets: int = KeyedTable.BUCKETS):
+        self.sessions = KeyedTable(spark, f"{store}/sessions", SESSION_SCHEMA, ["path"], buckets)
+        self.state = KeyedTable(spark, f"{store}/state", st.STATE_SCHEMA, ["contributor", "source", "path", "session", "parent"], buckets)
+        self.objects = KeyedTable(spark, f"{store}/objects", OBJECT_SCHEMA, ["key"], buckets)
         self.statuses = BatchTable(spark, f"{store}/statuses", st.STATE_SCHEMA)
         self.artifacts = BatchTable(spark, f"{store}/artifacts", ARTIFACT_SCHEMA)
         self.members = BatchTable(spark, f"{store}/bundles", MEMBER_SCHEMA)
@@ -151,7 +154,7 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     plan, and whatever reads them survives the loss of executors.
     """
     spark = configure(spark or changes.sparkSession)
-    tables = Tables(spark, plan.store)
+    tables = Tables(spark, plan.store, plan.buckets)
 
     def stage(name: str, rows: DataFrame) -> DataFrame:
         target = f"{plan.store}/work/{name}/batch_id={batch_id}"
@@ -159,10 +162,8 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
         return spark.read.schema(rows.schema).parquet(target)
 
     latest = changes.groupBy("path").agg(F.max_by(F.struct("size", "modified"), "modified").alias("f")).select("path", "f.*")
-    described = plan.describe(stage("changes", latest))
-    before = tables.sessions.read(before=batch_id)
-    kept = before.join(described.select("path"), "path", "left_anti")
-    all_sessions = tables.sessions.write(kept.unionByName(described.select(*before.columns)), batch_id)
+    tables.sessions.upsert(plan.describe(stage("changes", latest)), batch_id)
+    all_sessions = tables.sessions.read(before=batch_id + 1)
 
     selected = stage("selected", selected_sessions(plan, all_sessions))
     # The bytes of attachments are read only for sessions that need them.
@@ -175,8 +176,12 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     links = stage("links", _links(selected))
     old_state, objects = tables.state.read(before=batch_id), tables.objects.read(before=batch_id)
 
-    recorded = stage("recorded", st.reusable(st.with_record(refs, old_state, plan.contributor)))
-    unresolved = recorded.where(F.col("cached_state").isNull()).drop("record", "cached_state")
+    reusable = st.reusable(st.with_record(refs, old_state, plan.contributor))
+    # A file that shares its key with the one that is published has no object of its own, whatever stands under the key.
+    waits = ~F.col("owns_key") & (F.col("record.state") == "not_uploaded") & (F.col("record.key") == F.col("key")) & (F.col("record.project") == F.col("project_id"))
+    recorded = stage("recorded", reusable.withColumn("cached_state", F.when(waits, "not_uploaded").otherwise(F.when(F.col("owns_key"), F.col("cached_state")))))
+    unanswered = recorded.where(F.col("cached_state").isNull()).drop("record", "cached_state")
+    unresolved, others = unanswered.where("owns_key"), unanswered.where("NOT owns_key")
     existing = st.existing_objects(unresolved, objects)
     read = plan.contents(existing.select("path")).select(
         F.col("path").alias("session"), snapshot.transcript_digest(F.col("content")).alias("digest")
@@ -185,7 +190,9 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
         "path", "source_hash", F.when(F.col("source_hash").isNotNull(), F.col("file_snapshot_now")).alias("file_snapshot"),
         F.lit(None).cast("string").alias("error"),
     )
-    checked = tables.statuses.write(st.as_state(st.classify(unresolved, objects, hashed), plan.contributor), batch_id)
+    unpublished = {c: F.lit(None).cast("string") for c in ("source_hash", "file_snapshot", "error")}
+    classified = st.classify(unresolved, objects, hashed).unionByName(others.withColumns({"state": F.lit("not_uploaded"), **unpublished}), allowMissingColumns=True)
+    checked = tables.statuses.write(st.as_state(classified, plan.contributor), batch_id)
     state = st.merge_state(old_state, checked)
 
     decided = st.candidates(st.with_record(recorded.drop("record", "cached_state"), state, plan.contributor))
@@ -228,10 +235,11 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
     errors = tables.errors.write(failed.unionByName(unread), batch_id)
 
     published = artifacts.select("key", F.current_timestamp().alias("last_modified"), "metadata")
-    tables.objects.write(objects.join(published.select("key"), "key", "left_anti").unionByName(published), batch_id)
+    tables.objects.upsert(published, batch_id)
     tables.runs.write(_run_row(artifacts, errors, tables.runs.read().where(F.col("batch_id") < batch_id)), batch_id)
     # The state goes last: until it is complete, a repeated batch starts from the old one.
-    tables.state.write(st.record_uploaded(state, artifacts, plan.contributor), batch_id)
+    touched = old_state.join(artifacts.select("path"), "path", "left_semi")
+    tables.state.upsert(st.record_uploaded(st.merge_state(touched, checked), artifacts, plan.contributor), batch_id)
 
 
 def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None) -> DataFrame:
