@@ -375,6 +375,19 @@ def preview_page(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select("conv_id", "position", "role", "text", "redaction_count", "total_messages", "next_offset", "has_more")
 
 
+def preview_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as the messages of a few long sessions: the page at 5,000 and one past every end, where totals remain."""
+    item = table(spark, folder, "lineitem")
+    said = F.format_string("order %d of jo@example.org", "l_orderkey")
+    talk = item.select(
+        F.concat("l_returnflag", "l_linestatus").alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"),
+        F.when(F.col("l_linenumber") % 2 == 1, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    index = preview.rank_index(talk, ["session"])
+    pages = [preview.deep_page(talk, ["session"], CHECK_SALT, offset, 100, index=index).withColumn("asked", F.lit(offset)) for offset in (5000, 1_000_000_000)]
+    return pages[0].unionByName(pages[1])
+
+
 # --- trajectories ---------------------------------------------------------
 
 def origin_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -462,6 +475,6 @@ QUERIES = {
         child_ids_deep, codex_cwd_depth, attach_budget_phased, content_hash_streamed,
         project_merge, project_rollup, repository_roots, child_links, attach_pointers, attach_budget, arcname_collisions,
         attachment_outcomes, content_hash, storage_keys, upload_status, status_summary, state_counts, state_reuse,
-        state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, origin_join, child_refs,
+        state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, preview_deep, origin_join, child_refs,
     )
 }

@@ -174,6 +174,15 @@ ORACLES = {
   SELECT conv_id, position::INTEGER AS position, role, CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '...' ELSE t END AS text,
     1 AS redaction_count, total AS total_messages, least(4, total)::BIGINT AS next_offset, total > 4 AS has_more
   FROM n WHERE position BETWEEN 1 AND 3""",
+    "preview_deep": """
+  WITH m AS (SELECT l_returnflag || l_linestatus AS session, l_orderkey * 8 + l_linenumber AS seq,
+      CASE WHEN l_linenumber % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, 'order ' || l_orderkey || ' of [EMAIL]' AS text FROM lineitem),
+  n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq, role, text) - 1 AS position, count(*) OVER (PARTITION BY session) AS total FROM m),
+  t AS (SELECT session, max(total) AS total FROM n GROUP BY session), a AS (SELECT unnest([5000, 1000000000]) AS asked)
+  SELECT session, asked::INTEGER AS asked, position::BIGINT AS position, role, text, CASE WHEN role IS NOT NULL THEN 1 END AS redaction_count,
+    total AS total_messages, least(asked + 100, total)::BIGINT AS next_offset, total > asked + 100 AS has_more
+  FROM (SELECT n.session, asked, position, role, text, total FROM n, a WHERE position >= asked AND position < asked + 100
+        UNION ALL SELECT session, asked, NULL, NULL, NULL, total FROM t, a WHERE total <= asked)""",
     "origin_join": f"""
   WITH e AS (SELECT conv_id, turn, {_PROMPT} AS prompt, CASE WHEN conv_id % 3 = 0 THEN 'human' END AS o,
       CASE WHEN turn % 4 = 0 THEN 'typed' END AS p, CASE WHEN conv_id % 2 = 0 THEN 'cli' END AS c FROM conversations WHERE role = 'user'),
