@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import EMPTY_SESSION, human_size
+from sessionloom.operators.launch import UNKNOWN, rollup
 from sessionloom.sources.dialect import Dialect, summary_columns, summary_input
 from sessionloom.sources.registry import scan_rank
 
 
 def summarize(events: DataFrame) -> DataFrame:
-    """Per path: message count, first user message, first working directory, header."""
-    return summary_input(events).groupBy("path").agg(*summary_columns())
+    """Per path: message count, first user message, first working directory, header.
+
+    Events with a `verdict` give the launch label `own_kind` in the same pass."""
+    rows = summary_input(events)
+    label = [rollup(F.col("verdict")).alias("own_kind")] if "verdict" in rows.columns else []
+    return rows.groupBy("path").agg(*summary_columns(), *label)
 
 
 def sessions(files: DataFrame, events: DataFrame, dialect: Dialect, root: str) -> DataFrame:
@@ -24,6 +29,7 @@ def sessions(files: DataFrame, events: DataFrame, dialect: Dialect, root: str) -
     found = dialect.discover(files, root).join(summarize(events), "path", "left")
     kept = found.where(F.coalesce(F.col("header.accepted"), F.lit(not dialect.header_required)))
     parent = F.coalesce("path_parent", F.col("header.parent"))
+    label = [F.coalesce("own_kind", F.lit(UNKNOWN)).alias("own_kind")] if "own_kind" in kept.columns else []
     return kept.select(
         F.lit(dialect.id).alias("source"),
         F.coalesce(F.col("header.id"), F.col("path_id")).alias("id"),
@@ -44,6 +50,7 @@ def sessions(files: DataFrame, events: DataFrame, dialect: Dialect, root: str) -
             F.col("path_parent").isNotNull().alias("child"),
             F.split("path", "/").alias("parts"),
         ).alias("ordinal"),
+        *label,
     )
 
 

@@ -56,6 +56,19 @@ def claude_lines(conversations: DataFrame, extra: dict[str, Column] | None = Non
     return _spread(conversations, path, F.when(_odd(), blocked).otherwise(plain))
 
 
+def marked_claude_lines(conversations: DataFrame) -> DataFrame:
+    """With markers of how each session was started: five cases by id, one of which changes after the first turn."""
+    kind, late = F.col("conv_id") % 5, F.col("turn") > 0
+    return claude_lines(
+        conversations,
+        {
+            "promptSource": F.when((kind == 0) & late, "typed").when((kind == 1) | ((kind == 0) & ~late), "sdk"),
+            "entrypoint": F.when(kind == 2, "sdk-py").when(kind == 3, "cli"),
+            "origin": F.when((kind == 2) | (kind == 3), F.struct(F.lit("human").alias("kind"))),
+        },
+    )
+
+
 def codex_lines(conversations: DataFrame, tag: Column | None = None, originator: Column | None = None) -> DataFrame:
     blocks = F.array(_text_block("input_text"), _block("refusal"))
     wrapped = _json(

@@ -77,21 +77,8 @@ def codex_session_class(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _marked_claude(talk: DataFrame) -> DataFrame:
-    kind = F.col("conv_id") % 5
-    late = F.col("turn") > 0
-    return native.claude_lines(
-        talk,
-        {
-            "promptSource": F.when((kind == 0) & late, "typed").when((kind == 1) | ((kind == 0) & ~late), "sdk"),
-            "entrypoint": F.when(kind == 2, "sdk-py").when(kind == 3, "cli"),
-            "origin": F.when((kind == 2) | (kind == 3), F.struct(F.lit("human").alias("kind"))),
-        },
-    )
-
-
 def _launch_labels(talk: DataFrame) -> DataFrame:
-    return launch.own_launch_kind(decode_lines(_marked_claude(talk)), ["conv_id"])
+    return launch.own_launch_kind(decode_lines(native.marked_claude_lines(talk)), ["conv_id"])
 
 
 def launch_kind(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,20 +124,20 @@ _ORACLE_TEXT = """
            WHEN s.source = 'cursor' THEN concat_ws(chr(10), nullif(text, ''), '[Tool: edit]')
            ELSE text || chr(10) || '[thinking]' || chr(10) || '[Tool: grep]' || chr(10) || '[image]' END"""
 
-_ORACLE_FLAT = f"""
+ORACLE_FLAT = f"""
   SELECT s.source, conv_id, turn, role, {_ORACLE_TEXT} AS text
   FROM conversations, (VALUES ('claude_code'), ('codex'), ('cursor'), ('pi')) s(source)
   WHERE NOT (s.source = 'claude_code' AND role = 'system')"""
 
 _CODEX_CLASS = """CASE conv_id % 7 WHEN 3 THEN 'drop' WHEN 4 THEN 'drop' WHEN 5 THEN 'task' WHEN 6 THEN 'task' ELSE 'top' END"""
 
-_CLAUDE_KIND = """CASE conv_id % 5 WHEN 0 THEN CASE WHEN max(turn) > 0 THEN 'human' ELSE 'programmatic' END
+CLAUDE_KIND = """CASE conv_id % 5 WHEN 0 THEN CASE WHEN max(turn) > 0 THEN 'human' ELSE 'programmatic' END
     WHEN 1 THEN 'programmatic' WHEN 2 THEN 'programmatic' WHEN 3 THEN 'human' ELSE 'unknown' END"""
 
 ORACLES = {
-    "messages_roundtrip": _ORACLE_FLAT,
+    "messages_roundtrip": ORACLE_FLAT,
     "session_summary": f"""
-  WITH m AS ({_ORACLE_FLAT}),
+  WITH m AS ({ORACLE_FLAT}),
   clean AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM m),
   g AS (SELECT c.source, c.conv_id,
           count(*) FILTER (WHERE role IN ('user', 'assistant')) AS n,
@@ -190,14 +177,14 @@ ORACLES = {
   SELECT conv_id, {_CODEX_CLASS} AS class, CASE WHEN conv_id % 7 = 5 THEN 'p1' END AS parent_thread
   FROM (SELECT DISTINCT conv_id FROM conversations)""",
     "launch_kind": f"""
-  SELECT 'claude_code' AS source, conv_id, {_CLAUDE_KIND} AS launch_kind FROM conversations GROUP BY conv_id
+  SELECT 'claude_code' AS source, conv_id, {CLAUDE_KIND} AS launch_kind FROM conversations GROUP BY conv_id
   UNION ALL
   SELECT 'codex', conv_id,
     CASE conv_id % 4 WHEN 0 THEN CASE WHEN conv_id % 8 = 0 THEN 'programmatic' ELSE 'human' END
       WHEN 1 THEN 'programmatic' WHEN 2 THEN 'human' ELSE 'unknown' END
   FROM (SELECT DISTINCT conv_id FROM conversations)""",
     "launch_inherit": f"""
-  WITH own AS (SELECT conv_id, {_CLAUDE_KIND} AS own_kind,
+  WITH own AS (SELECT conv_id, {CLAUDE_KIND} AS own_kind,
                  CASE WHEN conv_id % 3 <> 0 THEN conv_id - conv_id % 3 END AS parent
                FROM conversations GROUP BY conv_id)
   SELECT c.conv_id, c.parent, c.own_kind,

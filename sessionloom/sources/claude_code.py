@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import variants as V
+from sessionloom.operators.attachments import claude_pointers
 from sessionloom.sources.dialect import Dialect
 
 TURN_TYPES = ("user", "assistant")
@@ -57,4 +58,5 @@ CLAUDE_CODE = Dialect(
     opens=lambda v, role: role == "user",
     cwd=lambda v, raw: V.string(v, "$.cwd"),
     discover=discover,
+    attachments=claude_pointers,
 )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions import variants as V
 from sessionloom.functions.text import let, path_name, path_stem
-from sessionloom.sources.dialect import Dialect, header
+from sessionloom.sources.dialect import Dialect, Layout, header
 
 ROLES = ("user", "assistant", "system")
 TEXT_BLOCKS = ("input_text", "output_text", "text")
@@ -159,4 +159,5 @@ CODEX = Dialect(
     cwd=find_cwd,
     header=_header,
     discover=discover,
+    layout=Layout(lines="rollout-*.jsonl"),
 )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import variants as V
 from sessionloom.functions.text import WHITESPACE_CLASS, let, path_name, path_stem, path_suffix, strip, unify_line_breaks
-from sessionloom.sources.dialect import Dialect
+from sessionloom.operators.attachments import cursor_pointers
+from sessionloom.sources.dialect import Dialect, Layout
 
 ROLES = ("user", "assistant", "system")
 TRANSCRIPTS = "agent-transcripts"
@@ -127,4 +128,7 @@ CURSOR = Dialect(
     counts=lambda v, role: F.coalesce(role.isin("user", "assistant"), F.lit(False)),
     opens=lambda v, role: role == "user",
     discover=discover,
+    layout=Layout(lines="*.[jJ][sS][oO][nN][lL]", texts="*.[tT][xX][tT]"),
+    attachments=cursor_pointers,
+    whole_text=text_turns,
 )

@@ -13,6 +13,20 @@ from sessionloom.functions.text import strip, truncate
 HEADER_TYPE = "struct<accepted:boolean,task:boolean,id:string,parent:string,cwd:string>"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Which files below a root can be transcripts; `discover` decides by the whole path.
+
+    lines   name glob of the JSON-line files, at any depth
+    texts   name glob of files that are read whole, if there are any
+    beside  name globs of JSON-line files in the folder that holds the root
+    """
+
+    lines: str = "*.jsonl"
+    texts: str | None = None
+    beside: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Dialect:
     """An adapter: column expressions over the VARIANT of one line.
@@ -24,7 +38,10 @@ class Dialect:
     header_required a file without any object is no transcript
     header          HEADER_TYPE describing the session, read from its first object
     discover        file inventory -> one row per transcript with ids from paths
-    attachments     optional: (transcripts with text) -> attachment pointers
+    layout          which files to read
+    attachments     optional: lines(path, seq, raw) -> pointers(session, pointer, kind, place)
+    whole_text      optional: text of a whole file -> array of struct(role, text); for files in
+                    which no line is a JSON object
     """
 
     id: str
@@ -38,7 +55,9 @@ class Dialect:
     cwd: Callable[[Column, Column], Column] = lambda v, raw: F.lit(None).cast("string")
     header: Callable[[Column, Column], Column] = lambda v, raw: header()
     header_required: bool = False
-    attachments: Callable[..., DataFrame] | None = None
+    layout: Layout = Layout()
+    attachments: Callable[[DataFrame], DataFrame] | None = None
+    whole_text: Callable[[Column], Column] | None = None
 
 
 def header(accepted=None, task=None, id=None, parent=None, cwd=None) -> Column:
@@ -54,8 +73,10 @@ def header(accepted=None, task=None, id=None, parent=None, cwd=None) -> Column:
     )
 
 
-def read_events(decoded: DataFrame, dialect: Dialect) -> DataFrame:
-    """One row per JSON object line: its message, if any, and what it adds to the session."""
+def read_events(decoded: DataFrame, dialect: Dialect, verdict: Column | None = None) -> DataFrame:
+    """One row per JSON object line: its message, if any, and what it adds to the session.
+
+    `verdict`, an expression over `v`, is what the line says about how the session was launched."""
     v, raw = F.col("v"), F.col("raw")
     keep = [F.col(c) for c in decoded.columns if c not in ("v", "raw", "source")]
     with_role = decoded.select(*keep, "raw", "v", dialect.role(v).alias("role"))
@@ -69,17 +90,19 @@ def read_events(decoded: DataFrame, dialect: Dialect) -> DataFrame:
         dialect.opens(v, role).alias("opens"),
         dialect.cwd(v, raw).alias("cwd"),
         dialect.header(v, raw).alias("header"),
+        *([] if verdict is None else [verdict.alias("verdict")]),
     )
 
 
 def messages(events: DataFrame) -> DataFrame:
-    return events.where(F.col("role").isNotNull()).drop("counts", "opens", "cwd", "header")
+    return events.where(F.col("role").isNotNull()).drop("counts", "opens", "cwd", "header", "verdict")
 
 
 def summary_input(events: DataFrame) -> DataFrame:
     """What a summary needs of each event: texts are cut before anything is sorted or shuffled."""
     opening = F.when(F.col("opens") & (strip(F.col("text")) != ""), truncate(F.col("text")))
-    return events.select("path", "seq", "counts", "cwd", "header", opening.alias("opening"))
+    verdict = [c for c in events.columns if c == "verdict"]
+    return events.select("path", "seq", "counts", "cwd", "header", opening.alias("opening"), *verdict)
 
 
 def summary_columns() -> list[Column]:

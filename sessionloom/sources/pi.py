@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import variants as V
 from sessionloom.functions.text import path_stem
 from sessionloom.sources.claude_code import tool_mark
-from sessionloom.sources.dialect import Dialect, header
+from sessionloom.sources.dialect import Dialect, Layout, header
 
 
 def _is_message(v: Column) -> Column:
@@ -89,4 +89,5 @@ PI = Dialect(
     header=_header,
     header_required=True,
     discover=discover,
+    layout=Layout(beside=("*.jsonl",)),
 )

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import launch
+from sessionloom.plans import scanning
 from sessionloom.sources import codex, cursor
 from sessionloom.sources.dialect import messages, read_events
 from sessionloom.sources.files import decode_lines, quarantine, read_lines
-from sessionloom.sources.registry import DIALECTS
+from sessionloom.sources.registry import DIALECTS, register
 from sessionloom.sources.scan import CorpusScan, scan_messages, scan_sessions
 
 UUID = "0199aaaa-0000-4000-8000-00000000000a"
@@ -241,3 +242,56 @@ def test_working_directory_at_any_depth(spark, depth):
     frame = spark.createDataFrame([(line,), ('{"a":1}',)], "raw string")
     assert [r[0] for r in decode_lines(frame).select(codex.find_cwd(F.col("v"), F.col("raw"))).collect()] == ["/deep", None]
     assert codex.walk_cwd(line) == "/deep"
+
+
+def test_every_dialect_reads_its_lines_once_for_sessions(spark, corpus):
+    for source, root in corpus.items():
+        plan = CorpusScan(spark, source, root).sessions()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan text") == 1, source
+
+
+def test_files_of_other_folders_are_not_opened(spark, tmp_path):
+    write(tmp_path / "root/-p/a.jsonl", user("a"))
+    write(tmp_path / "root/-p/deep/er/b.jsonl", user("b"))
+    scan = CorpusScan(spark, "claude_code", str(tmp_path / "root"))
+    assert [r.path.split("/")[-1] for r in scan.lines().collect()] == ["a.jsonl"]
+    plan = scan.lines()._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "file_path" in plan.split("DataFilters")[1].split("]")[0]
+
+
+def test_names_with_a_percent_sign(spark, tmp_path):
+    write(tmp_path / "root/-p/a%20b+c.jsonl", user("a"))
+    scan = CorpusScan(spark, "claude_code", str(tmp_path / "root"))
+    assert [(r.id, r.message_count) for r in scan.sessions().collect()] == [("a%20b+c", 1)]
+
+
+def test_editor_lines_without_an_object_are_turns(spark, tmp_path):
+    base = tmp_path / "root/p/agent-transcripts"
+    write(base / "a.jsonl", "User: hi", "more", "", "Assistant:", "yes")
+    write(base / "b.jsonl", "noise", {"role": "user", "content": "json"}, "User: no")
+    write(base / "c.txt", {"role": "user", "content": "one"}, "noise", {"role": "assistant", "content": "two"}, end="\r\n")
+    found = CorpusScan(spark, "cursor", str(tmp_path / "root")).messages().orderBy("path", "seq").collect()
+    assert [(r.path[-7:-4] if r.path.endswith("txt") else r.path[-7], r.role, r.text) for r in found] == [
+        ("a", "user", "hi\nmore"), ("a", "assistant", "yes"), ("b", "user", "json"), ("s/c", "user", "one"), ("s/c", "assistant", "two"),
+    ]
+
+
+def test_pointers_of_a_dialect(spark, tmp_path):
+    write(tmp_path / "c/-p/a.jsonl", user("saved to /x/tool-results/1.txt"), user("and /y/tasks/2.output"))
+    write(tmp_path / "e/p/agent-transcripts/a.jsonl", {"role": "user", "content": "/x/terminals/3.txt"})
+    write(tmp_path / "e/p/agent-transcripts/b.txt", "User: see /x/agent-tools/4.txt")
+    write(tmp_path / "pi/--p--/1_a.jsonl", {"type": "session"})
+    roots = {"claude_code": "c", "cursor": "e", "pi": "pi"}
+    found = {s: {(r.pointer, r.kind) for r in CorpusScan(spark, s, str(tmp_path / d)).pointers().collect()} for s, d in roots.items()}
+    assert found["claude_code"] == {("/x/tool-results/1.txt", "tool-results"), ("/y/tasks/2.output", "task-outputs")}
+    assert found["cursor"] == {("/x/terminals/3.txt", "terminals"), ("/x/agent-tools/4.txt", "agent-tools")}
+    assert found["pi"] == set()
+
+
+def test_a_registered_dialect_is_scanned(spark, tmp_path):
+    write(tmp_path / "user_id=7/part-0.txt", {"actor": "click", "said": "see /srv/logs/1.txt", "from": "/w"}, "junk", {"actor": "error", "said": "x"})
+    write(tmp_path / "elsewhere/part-0.txt", {"actor": "click"})
+    register(scanning.ACTIVITY)
+    (row,) = scan_sessions(spark, {"activity": str(tmp_path)}).collect()
+    assert (row.source, row.id, row.cwd, row.message_count, row.first_message) == ("activity", "7", "/w", 1, "see /srv/logs/1.txt")
+    assert [r.role for r in scan_messages(spark, {"activity": str(tmp_path)}).orderBy("seq").collect()] == ["click", "error"]
