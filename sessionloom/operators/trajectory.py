@@ -20,6 +20,8 @@ from sessionloom.functions.text import collapse_whitespace, strip
 from sessionloom.operators.joins import lookup
 
 SUPPORTED_SOURCES = ("claude_code", "codex")
+# Words of 64 bits in the filter of one session, at most: 128 KiB.
+FILTER_WORDS = 1 << 14
 # Result fields that name a child, compared without case and punctuation.
 CHILD_FIELDS = (
     "agentid", "agentids", "childthreadid", "receiverthreadids", "sessionid", "sessionids", "threadid", "threadids",
@@ -189,24 +191,12 @@ def read_results(results: DataFrame) -> DataFrame:
     )
 
 
-def result_identifiers(read: DataFrame) -> DataFrame:
-    """(session, step, call_id, identifier): child ids in structured fields."""
-    return read.select("session", "step", "call_id", F.explode("ids").alias("identifier"))
-
-
-def mentioned_tokens(read: DataFrame) -> DataFrame:
-    """(session, step, call_id, identifier): every whole token of a result's texts, to be matched with aliases."""
-    tokens = F.flatten(F.transform("texts", lambda t: F.split(t, "[^A-Za-z0-9_-]+")))
-    exploded = read.select("session", "step", "call_id", F.explode(F.array_distinct(tokens)).alias("identifier"))
-    return exploded.where(F.col("identifier") != "")
-
-
-def odd_mentions(read: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mentions of aliases holding other characters than a token can.
+def odd_anchors(aliases: DataFrame) -> DataFrame:
+    """(session, identifier, anchor) of aliases holding other characters than a token can.
 
     Wherever such an alias stands whole, each of its own tokens stands whole as
-    well. Its longest one is joined with the tokens of the results; an alias
-    without any token is joined by its first character.
+    well. Its longest one is its anchor; an alias without any token has its
+    first character.
     """
     odd = aliases.where(F.col("alias").rlike("[^A-Za-z0-9_-]")).select(
         "session", F.col("alias").alias("identifier"),
@@ -215,15 +205,80 @@ def odd_mentions(read: DataFrame, aliases: DataFrame) -> DataFrame:
             lambda t: F.struct(F.length(t).alias("n"), t.alias("t")),
         ).alias("_runs"),
     )
-    anchored = odd.select(
+    return odd.select(
         "session", "identifier", F.coalesce(F.array_max("_runs")["t"], F.left("identifier", F.lit(1))).alias("anchor")
     )
+
+
+def _places(hashed: Column, words: Column) -> list[Column]:
+    """The three (word, bit) places of a hash in a filter whose number of words is a power of two."""
+    return [
+        F.struct(
+            F.shiftrightunsigned(hashed, 20 * i + 6).bitwiseAND((words - 1).cast("bigint")).cast("int").alias("word"),
+            F.shiftrightunsigned(hashed, 20 * i).bitwiseAND(F.lit(63)).cast("int").alias("bit"),
+        )
+        for i in range(3)
+    ]
+
+
+def alias_filters(aliases: DataFrame, most_words: int = FILTER_WORDS) -> DataFrame:
+    """(session, bits): a Bloom filter per session of what its aliases are found by, as an array of 64-bit words.
+
+    Sixteen bits an alias let one of 200 other tokens pass. A session with more aliases than `most_words` words can
+    hold so sparsely gets a fuller filter: more tokens pass, and none that matters is lost. No session's aliases are
+    gathered; only the words of its filter are.
+    """
+    plain = aliases.where(~F.col("alias").rlike("[^A-Za-z0-9_-]")).select("session", F.col("alias").alias("needle"))
+    needles = plain.unionByName(odd_anchors(aliases).select("session", F.col("anchor").alias("needle")))
+    doublings = F.ceil(F.log2(F.greatest(F.count("*") / 4, F.lit(1.0))))
+    sizes = needles.groupBy("session").agg(F.least(F.pow(F.lit(2.0), doublings), F.lit(float(most_words))).cast("int").alias("words"))
+    sized = lookup(needles, sizes, ["session"], ["needle"], "inner")
+    places = F.array(*_places(F.xxhash64("needle"), F.col("words")))
+    one = F.lit(1).cast("bigint")
+    marks = sized.select("session", F.inline(places)).select(
+        "session", "word", F.call_function("shiftleft", one, F.col("bit")).alias("bits")
+    )
+    blank = sizes.select("session", F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    filled = marks.unionByName(blank).groupBy("session", "word").agg(F.bit_or("bits").alias("bits"))
+    packed = filled.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("_words"))
+    return packed.select("session", F.transform("_words", lambda w: w["bits"]).alias("bits"))
+
+
+def screen_results(read: DataFrame, aliases: DataFrame, most_words: int = FILTER_WORDS) -> DataFrame:
+    """Results of sessions with aliases, with the `tokens` and other `signs` of their texts that may find an alias.
+
+    Every text is split and filtered in its own row, before any token is sent anywhere."""
+    joined = lookup(read, alias_filters(aliases, most_words), ["session"], ["step", "call_id"], "inner")
+    bits = F.col("bits")
+
+    def may_find(found: Column) -> Column:
+        def held(place: Column) -> Column:
+            return F.call_function("shiftrightunsigned", F.get(bits, place["word"]), place["bit"]).bitwiseAND(F.lit(1)) == 1
+
+        first, second, third = _places(found["hashed"], F.size(bits))
+        return held(first) & held(second) & held(third)
+
+    def passing(pieces: Column) -> Column:
+        hashed = F.transform(F.array_distinct(pieces), lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("hashed")))
+        return F.transform(F.filter(hashed, lambda h: (h["t"] != "") & may_find(h)), lambda h: h["t"])
+
+    tokens = F.flatten(F.transform("texts", lambda t: F.split(t, "[^A-Za-z0-9_-]+")))
+    signs = F.flatten(F.transform("texts", lambda t: F.array_distinct(F.split(t, "[A-Za-z0-9_-]*"))))
+    return joined.select("session", "step", "call_id", "ids", "texts", passing(tokens).alias("tokens"), passing(signs).alias("signs"))
+
+
+def named_children(screened: DataFrame) -> DataFrame:
+    """(session, step, call_id, identifier): ids in structured fields, and whole tokens that passed the filter."""
+    return screened.select("session", "step", "call_id", F.explode(F.array_union("ids", "tokens")).alias("identifier"))
+
+
+def odd_mentions(screened: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mentions of aliases holding other characters than a token can, first met by their anchors."""
     keys = ["session", "step", "call_id"]
-    marks = F.flatten(F.transform("texts", lambda t: F.array_distinct(F.split(t, "[A-Za-z0-9_-]*"))))
-    signs = read.select(*keys, F.explode(F.array_distinct(marks)).alias("identifier"))
-    anchors = mentioned_tokens(read).unionByName(signs).withColumnRenamed("identifier", "anchor")
-    near = anchors.join(anchored, ["session", "anchor"]).select(*keys, "identifier").distinct()
-    both = near.join(read.select(*keys, "texts"), keys)
+    found = F.array_union("tokens", "signs")
+    anchors = screened.select(*keys, F.explode(found).alias("anchor"))
+    near = anchors.join(odd_anchors(aliases), ["session", "anchor"]).select(*keys, "identifier").distinct()
+    both = near.join(screened.where(F.size(found) > 0).select(*keys, "texts"), keys)
     edge = "(?<![A-Za-z0-9_-])\\Q{}\\E(?![A-Za-z0-9_-])".split("{}")
     regex = F.concat(F.lit(edge[0]), F.replace("identifier", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(edge[1]))
     hit = F.exists("texts", lambda t: t.contains(F.col("identifier")) & F.regexp_like(t, regex))
@@ -240,12 +295,8 @@ def child_references(
     aliases = child_aliases(children)
     calls = tool_calls.where(is_spawn_tool(F.col("source"), F.col("function_name"))).select("session", "step", "call_id").distinct()
     read = read_results(tool_results.join(calls, ["session", "step", "call_id"]))
-    identifiers = (
-        result_identifiers(read)
-        .unionByName(mentioned_tokens(read))
-        .unionByName(odd_mentions(read, aliases))
-        .distinct()
-    )
+    screened = screen_results(read, aliases)
+    identifiers = named_children(screened).unionByName(odd_mentions(screened, aliases)).distinct()
     matched = identifiers.join(aliases.withColumnRenamed("alias", "identifier"), ["session", "identifier"])
     references = matched.select(
         "session", "step", "call_id",

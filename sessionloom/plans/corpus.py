@@ -435,6 +435,33 @@ def child_refs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mention_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions in whole texts: the references found, and whether under 2 % of the other tokens left their rows."""
+    talk = table(spark, folder, "conversations")
+    session = (F.col("conv_id") % 50).alias("session")
+    child = F.concat(F.lit("agent-"), _text("conv_id"), F.when(F.col("turn") % 9 == 4, "/").otherwise("x"), _text("turn"))
+    said = F.concat("text", F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" by "), child, F.lit("."))).otherwise(""))
+    base = talk.select(
+        session, F.struct("conv_id", "turn").alias("step"), F.lit("c").alias("call_id"), said.alias("content"),
+        F.lit(None).cast("string").alias("extra"), child.alias("child_id"), F.lit("claude_code").alias("source"), F.lit("Task").alias("function_name"),
+    )
+    found = trajectory.child_references(base, base.select("session", "step", "call_id", "content", "extra"), base)
+    references = found.select(F.lit("reference").alias("part"), "session", "step.conv_id", "step.turn", "session_id")
+
+    aliases = trajectory.child_aliases(base)
+    screened = trajectory.screen_results(trajectory.read_results(base), aliases)
+    sent = trajectory.named_children(screened).join(aliases.select("session", F.col("alias").alias("identifier")), ["session", "identifier"], "left_anti")
+    words = F.size(F.array_distinct(F.split("content", "[^A-Za-z0-9_-]+")))
+    counts = sent.select(F.lit(1).cast("bigint").alias("sent"), F.lit(0).alias("tokens")).unionByName(
+        base.select(F.lit(0).cast("bigint").alias("sent"), words.alias("tokens"))
+    ).agg(F.sum("sent").alias("sent"), F.sum("tokens").alias("tokens"))
+    verdict = F.when(F.col("sent") * 50 <= F.coalesce("tokens", F.lit(0)), "few").otherwise("many")
+    none = F.lit(None).cast("bigint")
+    return references.unionByName(counts.select(
+        F.lit("filter").alias("part"), none.alias("session"), none.alias("conv_id"), none.alias("turn"), verdict.alias("session_id")
+    ))
+
+
 def child_ids_deep(spark: SparkSession, folder: str) -> DataFrame:
     """Child ids below up to eleven objects and lists, and mentions that only string values may make."""
     talk = table(spark, folder, "conversations")
@@ -476,5 +503,6 @@ QUERIES = {
         project_merge, project_rollup, repository_roots, child_links, attach_pointers, attach_budget, arcname_collisions,
         attachment_outcomes, content_hash, storage_keys, upload_status, status_summary, state_counts, state_reuse,
         state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, preview_deep, origin_join, child_refs,
+        mention_filter,
     )
 }

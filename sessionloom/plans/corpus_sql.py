@@ -194,6 +194,11 @@ ORACLES = {
   WITH t AS (SELECT conv_id, turn, conv_id || 'x' || turn AS short FROM conversations WHERE turn % 6 IN (0, 1, 2, 4) AND conv_id % 5 <> 0)
   SELECT conv_id, turn, 'claude_code--agent-' || short AS trajectory_id, 'agent-' || short AS session_id,
     'claude_code--agent-' || short || '.zip' AS trajectory_path FROM t""",
+    "mention_filter": """
+  SELECT 'reference' AS part, (conv_id % 50)::BIGINT AS session, conv_id, turn::BIGINT AS turn,
+    'agent-' || conv_id || CASE WHEN turn % 9 = 4 THEN '/' ELSE 'x' END || turn AS session_id
+  FROM conversations WHERE turn % 3 = 1
+  UNION ALL SELECT 'filter', NULL, NULL, NULL, 'few'""",
     "child_ids_deep": """
   SELECT conv_id, turn, 'child' || conv_id || '-' || turn AS session_id FROM conversations WHERE turn % 2 = 0 OR turn % 3 = 0""",
     "codex_cwd_depth": "SELECT conv_id, turn, '/w/' || conv_id || '/' || turn AS cwd FROM conversations",
