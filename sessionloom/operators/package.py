@@ -18,8 +18,9 @@ from sessionloom.sources.registry import DIALECTS
 MANIFEST_MEMBER = "manifest.json"
 # Names the redaction rules in the manifest; callers may keep a name already in use.
 POLICY = "sessionloom"
-UNAVAILABLE = "Upload candidate is no longer available; refresh and try again"
-MOVED = "Transcript changed after Refresh; refresh and try again"
+UNAVAILABLE = "Not published: the session is gone since it was chosen"
+MOVED = "Not published: the session has other bytes or files than those checked"
+UNANSWERED = "Not published: the upload gave no result"
 
 
 def source_formats() -> Column:
@@ -159,6 +160,21 @@ def bundle_members(described: DataFrame, members: DataFrame, batch_id: int) -> D
     return texts.unionByName(manifests).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
 
 
+def upload_outcomes(artifacts: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uploaded artifacts, errors) from outcomes(path, error): NULL says that the bundle has arrived.
+
+    A bundle counts as uploaded if it has an outcome and none of its outcomes is an error. One without any is an error
+    as well: it is not known to have arrived. Outcomes of other paths say nothing.
+    """
+    judged = outcomes.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("error").alias("_error"))
+    uploaded = artifacts.join(judged.where(F.col("_error").isNull()), "path", "left_semi")
+    refused = artifacts.join(judged.withColumn("_answered", F.lit(True)), "path", "left").where(
+        F.col("_error").isNotNull() | F.col("_answered").isNull()
+    )
+    errors = refused.select("source", F.col("id").alias("session"), F.coalesce("_error", F.lit(UNANSWERED)).alias("error"))
+    return uploaded, errors
+
+
 def upload_results(described: DataFrame, sizes: DataFrame) -> DataFrame:
     """The result row per published bundle."""
     return described.join(sizes, "key", "left").select(

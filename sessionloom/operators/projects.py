@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions.text import path_name
 from sessionloom.operators.joins import lookup
+from sessionloom.operators.order import numbered
 from sessionloom.sources.registry import DIALECTS
 
 UNKNOWN_PROJECT = "(unknown project)"
@@ -287,10 +288,18 @@ def projects(merged: DataFrame) -> DataFrame:
         F.col("project_id").alias("identity"), F.col("_first.project_label").alias("label"),
         F.col("_first.project_directory").alias("directory"), "session_count", "latest_modified",
     )
-    return flat.orderBy(
-        F.coalesce("latest_modified", F.timestamp_seconds(F.lit(0))).desc(), F.lower("label"),
-        F.coalesce("directory", F.lit("")),
-    )
+    return flat.orderBy(*_project_order())
+
+
+def _project_order() -> list[Column]:
+    return [
+        F.coalesce("latest_modified", F.timestamp_seconds(F.lit(0))).desc(), F.lower("label"), F.coalesce("directory", F.lit(""))
+    ]
+
+
+def ordered_projects(listed: DataFrame, folder: str) -> DataFrame:
+    """Projects with their `position` in the order of the list; equal ones by identity. `folder`: see `order.numbered`."""
+    return numbered(listed, [*_project_order(), F.col("identity")], folder)
 
 
 def harness_rollup(merged: DataFrame) -> DataFrame:

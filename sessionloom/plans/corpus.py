@@ -11,7 +11,7 @@ from sessionloom.operators import budget, consent, listing, package, preview, pr
 from sessionloom.operators import status as st
 from sessionloom.plans import native
 from sessionloom.plans.privacy import CHECK_SALT
-from sessionloom.plans.tables import shared_folder, table
+from sessionloom.plans.tables import shared_folder, table, work_folder
 from sessionloom.sources import codex
 from sessionloom.sources.files import decode_lines
 
@@ -263,6 +263,25 @@ def state_counts(spark: SparkSession, folder: str) -> DataFrame:
     return st.state_counts(_statuses(spark, folder))
 
 
+def status_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Statuses of which two thirds come from the cache and half were checked again, in the order they were asked for."""
+    statuses = _statuses(spark, folder)
+    cached = statuses.where(F.col("doc_id") % 3 != 0).withColumn("state", F.lit("current"))
+    by = [F.reverse(F.col("id")), F.col("id")]
+    done = st.in_request_order(_status_refs(spark, folder), cached, statuses.where(F.col("doc_id") % 2 == 0), by, work_folder(spark, "order"))
+    return done.select("doc_id", "state", "cached", "position")
+
+
+def project_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers' orders as sessions, a customer as a project: projects newest first, then by label."""
+    orders = table(spark, folder, "orders").select(
+        F.concat(F.lit("unresolved:"), _text("o_custkey")).alias("project_id"), F.concat(F.lit("Label-"), _text("o_custkey")).alias("project_label"),
+        F.lit(None).cast("string").alias("project_directory"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").cast("timestamp").alias("modified"),
+    )
+    done = projects.ordered_projects(projects.projects(orders), work_folder(spark, "order"))
+    return done.select("label", "session_count", "position")
+
+
 def _recorded(spark: SparkSession, folder: str) -> DataFrame:
     """Refs with saved records that differ from them in one respect each."""
     way = F.col("doc_id") % 9
@@ -503,6 +522,6 @@ QUERIES = {
         project_merge, project_rollup, repository_roots, child_links, attach_pointers, attach_budget, arcname_collisions,
         attachment_outcomes, content_hash, storage_keys, upload_status, status_summary, state_counts, state_reuse,
         state_merge, selection_resolve, consent_filter, manifest_json, key_listing, preview_page, preview_deep, origin_join, child_refs,
-        mention_filter,
+        mention_filter, status_in_order, project_order,
     )
 }

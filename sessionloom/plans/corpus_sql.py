@@ -116,6 +116,14 @@ ORACLES = {
     || CASE WHEN label = '' THEN '%00' ELSE replace(replace(replace(label, '%', '%25'), '/', '%2F'), '\\', '%5C') END
     || '/' || {_safe('tid')} || '.zip' AS key FROM d""",
     "upload_status": f"WITH {_STATUS} SELECT doc_id, key, state, error FROM s",
+    "status_in_order": f"""
+  WITH {_STATUS}
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN state ELSE 'current' END AS state, doc_id % 2 <> 0 AS cached,
+    row_number() OVER (ORDER BY reverse(doc_id::VARCHAR), doc_id::VARCHAR) - 1 AS position
+  FROM s WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0""",
+    "project_order": """
+  WITH p AS (SELECT o_custkey, count(*) AS session_count, max(o_orderdate) AS latest FROM orders GROUP BY 1)
+  SELECT 'Label-' || o_custkey AS label, session_count, row_number() OVER (ORDER BY latest DESC, 'label-' || o_custkey) - 1 AS position FROM p""",
     "status_summary": f"""
   WITH {_STATUS}
   SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 4 <> 0) AS checked, count(*) FILTER (WHERE doc_id % 4 = 0) AS cached,

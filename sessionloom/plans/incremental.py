@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.plans.privacy import CHECK_SALT
-from sessionloom.plans.tables import shared_folder, table
+from sessionloom.plans.tables import table, work_folder
 from sessionloom.sources.store import current_bundles
 from sessionloom.streaming import sync
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _path(doc: DataFrame) -> DataFrame:
     return doc.withColumn("path", F.format_string("/d/%d.jsonl", "doc_id"))
 
@@ -147,10 +140,70 @@ def sync_partial_write(spark: SparkSession, folder: str) -> DataFrame:
     return tables.state.read().select(F.col("session").cast("bigint").alias("doc_id"), "state", "source_hash", *counts)
 
 
-QUERIES = {"incremental_sync": incremental_sync, "sync_repeated_ids": sync_repeated_ids, "sync_partial_write": sync_partial_write}
+def publish_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh upload fails, and every fourteenth again when a second batch tries what is left: states, the batch that
+    each bundle was uploaded in, its errors, and what the two runs report."""
+    docs = _path(table(spark, folder, "documents"))
+    base = work_folder(spark, "publish")
+    store, changes = f"{base}/store", f"{base}/changes"
+
+    def inventory(rows: DataFrame) -> DataFrame:
+        return rows.select("path", F.col("n_chars").cast("bigint").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("modified"))
+
+    def describe(changed: DataFrame) -> DataFrame:
+        return docs.join(changed, "path").select(
+            F.lit("codex").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
+            F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
+            F.left("text", F.lit(20)).alias("first_message"), F.col("source").alias("project_label"),
+            F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
+        )
+
+    def contents(paths: DataFrame) -> DataFrame:
+        return docs.join(paths, "path", "left_semi").select("path", F.col("text").cast("binary").alias("content"))
+
+    def publish(artifacts: DataFrame, _members: DataFrame, batch_id: int) -> DataFrame:
+        refused = F.col("id").cast("bigint") % (7 * (batch_id + 1)) == 0
+        tried = artifacts.select("path", F.when(refused, "full").alias("error"), refused.alias("_refused"))
+        # Half of the refusals give no outcome at all.
+        return tried.where(~F.col("_refused") | (F.crc32(F.col("path").cast("binary")) % 2 == 0))
+
+    plan = sync.SyncPlan(store=store, contributor="me", describe=describe, contents=contents, publish=publish, salt=CHECK_SALT)
+    for rows in (docs, docs.where(F.col("doc_id") % 100 == 1)):
+        inventory(rows).write.mode("append").parquet(changes)
+        sync.start(spark, plan, changes, f"{base}/progress").awaitTermination()
+
+    tables = sync.Tables(spark, store)
+    results, errors = tables.results.read(), tables.errors.read().groupBy("session").agg(F.count("*").alias("failures"))
+    held = current_bundles(tables.members.read(), results).groupBy("key").agg(
+        F.sum(F.octet_length("content")).cast("bigint").alias("held"), F.max("batch_id").alias("batch_id")
+    )
+    uploads = results.select(F.col("object_key").alias("key"), "bundle_bytes").join(held, "key").select(
+        "key", "batch_id", (F.col("held") == F.col("bundle_bytes")).alias("whole")
+    )
+    runs = tables.runs.read().groupBy().agg(*[
+        F.max(F.when(F.col("batch_id") == b, F.col(c))).alias(f"{c}_{b}") for b in (0, 1) for c in ("status", "sessions_uploaded", "errors")
+    ])
+    state = tables.state.read().join(uploads, "key", "left").join(errors, "session", "left")
+    rows = state.select(
+        F.col("session").cast("bigint").alias("doc_id"), "state", "source_hash", "batch_id", "whole", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"), F.lit(1).alias("_k")
+    )
+    return rows.join(runs.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+QUERIES = {"publish_results": publish_results, "incremental_sync": incremental_sync, "sync_repeated_ids": sync_repeated_ids, "sync_partial_write": sync_partial_write}
 _EMAIL = r"(^|[^A-Za-z0-9._%+\-\\@])([A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24})"
 _SECRET = r"""(?i)((?:password|passwd|secret|token|api_key|apikey|access_key)\s*[=:]\s*["''])([^"'']{8,})(["''])"""
 ORACLES = {
+    "publish_results": """
+  WITH n AS (SELECT count(*) FILTER (doc_id % 7 <> 0) AS a, count(*) FILTER (doc_id % 7 = 0) AS b, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 14 <> 0) AS c,
+                    count(*) FILTER (doc_id % 14 = 0) AS d FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'not_uploaded' ELSE 'current' END AS state,
+    CASE WHEN doc_id % 14 <> 0 THEN sha256(encode('source-v5') || unhex('00') || encode(text)) END AS source_hash,
+    CASE WHEN doc_id % 14 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS batch_id,
+    CASE WHEN doc_id % 14 <> 0 THEN true END AS whole,
+    CASE WHEN doc_id % 14 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS failures,
+    CASE WHEN b > 0 THEN 'partial' ELSE 'completed' END AS status_0, a AS sessions_uploaded_0, b AS errors_0,
+    CASE WHEN d > 0 THEN 'partial' ELSE 'completed' END AS status_1, c AS sessions_uploaded_1, d AS errors_1 FROM documents, n""",
     "incremental_sync": f"""
   WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END AS t FROM documents)
   SELECT doc_id, 'current' AS state, sha256(encode('source-v5') || unhex('00') || encode(t)) AS source_hash,

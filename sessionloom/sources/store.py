@@ -221,7 +221,8 @@ class BatchTable:
         return self.spark.read.schema(full).parquet(self.folder)
 
 
-def current_bundles(members: DataFrame) -> DataFrame:
-    """The members of each key from its newest batch."""
-    newest = members.groupBy("key").agg(F.max("batch_id").alias("batch_id"))
+def current_bundles(members: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """The members of each key from its newest batch; with results(object_key, batch_id), from its newest batch that was uploaded."""
+    done = members if results is None else results.select(F.col("object_key").alias("key"), "batch_id")
+    newest = done.groupBy("key").agg(F.max("batch_id").alias("batch_id"))
     return members.join(newest, ["key", "batch_id"])

@@ -35,6 +35,10 @@ ARTIFACT_SCHEMA = (
     "redactions bigint, project_name string, format string, launch_kind string, manifest string, metadata map<string,string>"
 )
 RUN_SCHEMA = "finished_at timestamp, status string, sessions_uploaded bigint, errors bigint, last_uploaded_at timestamp"
+RESULT_SCHEMA = (
+    "source string, project string, session string, parent string, bundle_bytes bigint, redactions bigint, "
+    "attachment_count bigint, object_key string, transcript_count int"
+)
 ERROR_SCHEMA = "source string, session string, error string"
 ATTACHMENT_SCHEMA = (
     "session string, path string, reference string, arcname string, kind string, size bigint, modified timestamp, "
@@ -52,6 +56,10 @@ class SyncPlan:
                  looked at, and again for those sessions alone that are hashed or published
     signatures   optional: () -> present files(path, size, modified), read again after packing
     consent      optional: () -> saved consent(identity, label)
+    publish      optional: (artifacts, bundle members, batch number) -> outcomes(path, error), one row per bundle that
+                 was tried. Only bundles with an outcome and without an error become objects and `current`; the others
+                 give error rows and stay candidates. A batch that is repeated calls it again under the same keys, so
+                 it has to replace what it has sent before. Without it, the written members are the bundles
     """
 
     store: str
@@ -61,6 +69,7 @@ class SyncPlan:
     attachments: Callable[[DataFrame], DataFrame] | None = None
     signatures: Callable[[], DataFrame] | None = None
     consent: Callable[[], DataFrame] | None = None
+    publish: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None
     all_projects: bool = True
     usernames: Sequence[str] = ()
     stoplist: Sequence[str] = ()
@@ -79,6 +88,7 @@ class Tables:
         self.statuses = BatchTable(spark, f"{store}/statuses", st.STATE_SCHEMA)
         self.artifacts = BatchTable(spark, f"{store}/artifacts", ARTIFACT_SCHEMA)
         self.members = BatchTable(spark, f"{store}/bundles", MEMBER_SCHEMA)
+        self.results = BatchTable(spark, f"{store}/results", RESULT_SCHEMA)
         self.errors = BatchTable(spark, f"{store}/errors", ERROR_SCHEMA)
         self.runs = BatchTable(spark, f"{store}/runs", RUN_SCHEMA)
 
@@ -228,18 +238,25 @@ def run_batch(plan: SyncPlan, changes: DataFrame, batch_id: int, spark: SparkSes
         judged.where("fresh"), counts, totals, plan.contributor, plan.usernames, plan.stoplist, plan.policy
     )
     artifacts = tables.artifacts.write(made, batch_id)
-    tables.members.write(package.bundle_members(artifacts, members, batch_id), batch_id)
+    bundled = tables.members.write(package.bundle_members(artifacts, members, batch_id), batch_id)
+    uploaded, refused = artifacts, None
+    if plan.publish:
+        # Written before anything is decided by them: an upload is not to run again because its rows are read again.
+        outcomes = stage("outcomes", plan.publish(artifacts, bundled, batch_id).select("path", "error"))
+        uploaded, refused = package.upload_outcomes(artifacts, outcomes)
+    tables.results.write(package.upload_results(uploaded, package.bundle_sizes(bundled)), batch_id)
 
     failed = judged.where(~F.col("fresh")).select("source", F.col("id").alias("session"), F.lit(package.MOVED).alias("error"))
     unread = checked.where(F.col("error").isNotNull()).select("source", "session", "error")
-    errors = tables.errors.write(failed.unionByName(unread), batch_id)
+    bad = failed.unionByName(unread)
+    errors = tables.errors.write(bad if refused is None else bad.unionByName(refused), batch_id)
 
-    published = artifacts.select("key", F.current_timestamp().alias("last_modified"), "metadata")
+    published = uploaded.select("key", F.current_timestamp().alias("last_modified"), "metadata")
     tables.objects.upsert(published, batch_id)
-    tables.runs.write(_run_row(artifacts, errors, tables.runs.read().where(F.col("batch_id") < batch_id)), batch_id)
+    tables.runs.write(_run_row(uploaded, errors, tables.runs.read().where(F.col("batch_id") < batch_id)), batch_id)
     # The state goes last: until it is complete, a repeated batch starts from the old one.
-    touched = old_state.join(artifacts.select("path"), "path", "left_semi")
-    tables.state.upsert(st.record_uploaded(st.merge_state(touched, checked), artifacts, plan.contributor), batch_id)
+    touched = old_state.join(uploaded.select("path"), "path", "left_semi")
+    tables.state.upsert(st.record_uploaded(st.merge_state(touched, checked), uploaded, plan.contributor), batch_id)
 
 
 def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None) -> DataFrame:
@@ -253,9 +270,9 @@ def _members(plan: SyncPlan, content: DataFrame, attached: DataFrame | None) ->
     return package.redact_members(own, plan.salt, plan.usernames, plan.stoplist)
 
 
-def _run_row(artifacts: DataFrame, errors: DataFrame, earlier: DataFrame) -> DataFrame:
+def _run_row(uploaded: DataFrame, errors: DataFrame, earlier: DataFrame) -> DataFrame:
     """One summary row; a run without uploads carries the last upload time over."""
-    done = artifacts.agg(F.count("*").alias("sessions_uploaded"))
+    done = uploaded.agg(F.count("*").alias("sessions_uploaded"))
     bad = errors.agg(F.count("*").alias("errors"))
     last = earlier.agg(F.max("last_uploaded_at").alias("_last"))
     now = F.current_timestamp()

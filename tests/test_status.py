@@ -39,7 +39,7 @@ def test_unreadable_transcripts_are_error_rows(spark):
     objects = spark.createDataFrame([("k/a", GOOD), ("k/b", GOOD), ("k/c", GOOD)], "key string, metadata map<string,string>")
     hashes = spark.createDataFrame([("/a", None, None, "OSError: x"), ("/c", "h", "s", None)], HASH)
     got = {r.id: (r.state, r.error) for r in st.classify(refs(spark, "a", "b", "c"), objects, hashes).collect()}
-    assert got == {"a": ("error", "OSError: x"), "b": ("error", "Transcript changed while it was being hashed"), "c": ("current", None)}
+    assert got == {"a": ("error", "OSError: x"), "b": ("error", "No hash: the file changed while it was read"), "c": ("current", None)}
 
 
 @pytest.mark.parametrize(

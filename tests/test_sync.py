@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import attachments as A
+from sessionloom.operators import package
 from sessionloom.operators import status as st
 from sessionloom.sources.files import file_inventory, read_texts
 from sessionloom.sources.scan import CorpusScan
@@ -125,3 +126,38 @@ def test_an_edited_attachment_is_published_again(spark, world):
     assert bundles["tool-results/out.txt"] == "/home/[USER]/openly place"
     staged = spark.read.parquet(f"{plan.store}/work/attached")
     assert "content" not in staged.columns
+
+
+def test_refused_uploads_stay_candidates(world):
+    write, tick, plan, folder, tmp = world
+    calls = []
+
+    def publish(artifacts, members, batch_id):
+        calls.append({r.id for r in artifacts.collect()})
+        assert members.select("key").distinct().count() == len(calls[-1])
+        tried = artifacts.withColumn("error", F.when(F.col("id") == "s1", "full"))
+        # The child gives no outcome at first; a foreign path says nothing.
+        kept = tried.where((F.col("id") != "agent-k") | F.lit(batch_id > 0))
+        answers = kept.select("path", F.when(F.lit(batch_id < 2), F.col("error")).alias("error"))
+        return answers.unionByName(answers.limit(1).withColumns({"path": F.lit("elsewhere"), "error": F.lit("x")}))
+
+    object.__setattr__(plan, "publish", publish)
+    tables = tick()
+    assert calls == [{"s1", "s2", "agent-k"}]
+    assert {r.session: r.state for r in tables.state.read().collect()} == {"s1": "not_uploaded", "s2": "current", "agent-k": "not_uploaded"}
+    assert {r.session: r.error for r in tables.errors.read().collect()} == {"s1": "full", "agent-k": package.UNANSWERED}
+    assert [r.session for r in tables.results.read().collect()] == ["s2"]
+    run = tables.runs.read().first()
+    assert (run.status, run.sessions_uploaded, run.errors) == ("partial", 1, 2)
+    assert current_bundles(tables.members.read(), tables.results.read()).select("key").distinct().count() == 1
+
+    tables = tick()
+    assert calls[1:] == [{"s1", "agent-k"}]
+    tables = tick()
+    assert calls[2:] == [{"s1"}]
+    assert {r.state for r in tables.state.read().collect()} == {"current"}
+    sizes = {r.object_key: r.bundle_bytes for r in tables.results.read().collect()}
+    held = current_bundles(tables.members.read(), tables.results.read()).groupBy("key").agg(F.sum(F.octet_length("content")).alias("n"))
+    assert {r.key: r.n for r in held.collect()} == sizes and len(sizes) == 3
+    tick()
+    assert calls[3:] == [set()]
