@@ -191,23 +191,19 @@ def read_results(results: DataFrame) -> DataFrame:
     )
 
 
-def odd_anchors(aliases: DataFrame) -> DataFrame:
-    """(session, identifier, anchor) of aliases holding other characters than a token can.
+def anchored(aliases: DataFrame) -> DataFrame:
+    """Adds `anchor` to aliases holding other characters than a token can; it is NULL for all others.
 
     Wherever such an alias stands whole, each of its own tokens stands whole as
     well. Its longest one is its anchor; an alias without any token has its
     first character.
     """
-    odd = aliases.where(F.col("alias").rlike("[^A-Za-z0-9_-]")).select(
-        "session", F.col("alias").alias("identifier"),
-        F.transform(
-            F.filter(F.split("alias", "[^A-Za-z0-9_-]+"), lambda t: t != ""),
-            lambda t: F.struct(F.length(t).alias("n"), t.alias("t")),
-        ).alias("_runs"),
-    )
-    return odd.select(
-        "session", "identifier", F.coalesce(F.array_max("_runs")["t"], F.left("identifier", F.lit(1))).alias("anchor")
+    runs = F.transform(
+        F.filter(F.split("alias", "[^A-Za-z0-9_-]+"), lambda t: t != ""),
+        lambda t: F.struct(F.length(t).alias("n"), t.alias("t")),
     )
+    anchor = F.coalesce(F.array_max(runs)["t"], F.left("alias", F.lit(1)))
+    return aliases.withColumn("anchor", F.when(F.col("alias").rlike("[^A-Za-z0-9_-]"), anchor))
 
 
 def _places(hashed: Column, words: Column) -> list[Column]:
@@ -228,8 +224,7 @@ def alias_filters(aliases: DataFrame, most_words: int = FILTER_WORDS) -> DataFra
     hold so sparsely gets a fuller filter: more tokens pass, and none that matters is lost. No session's aliases are
     gathered; only the words of its filter are.
     """
-    plain = aliases.where(~F.col("alias").rlike("[^A-Za-z0-9_-]")).select("session", F.col("alias").alias("needle"))
-    needles = plain.unionByName(odd_anchors(aliases).select("session", F.col("anchor").alias("needle")))
+    needles = anchored(aliases).select("session", F.coalesce("anchor", "alias").alias("needle"))
     doublings = F.ceil(F.log2(F.greatest(F.count("*") / 4, F.lit(1.0))))
     sizes = needles.groupBy("session").agg(F.least(F.pow(F.lit(2.0), doublings), F.lit(float(most_words))).cast("int").alias("words"))
     sized = lookup(needles, sizes, ["session"], ["needle"], "inner")
@@ -277,7 +272,8 @@ def odd_mentions(screened: DataFrame, aliases: DataFrame) -> DataFrame:
     keys = ["session", "step", "call_id"]
     found = F.array_union("tokens", "signs")
     anchors = screened.select(*keys, F.explode(found).alias("anchor"))
-    near = anchors.join(odd_anchors(aliases), ["session", "anchor"]).select(*keys, "identifier").distinct()
+    odd = anchored(aliases).where(F.col("anchor").isNotNull()).select("session", "anchor", F.col("alias").alias("identifier"))
+    near = anchors.join(odd, ["session", "anchor"]).select(*keys, "identifier").distinct()
     both = near.join(screened.where(F.size(found) > 0).select(*keys, "texts"), keys)
     edge = "(?<![A-Za-z0-9_-])\\Q{}\\E(?![A-Za-z0-9_-])".split("{}")
     regex = F.concat(F.lit(edge[0]), F.replace("identifier", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(edge[1]))
