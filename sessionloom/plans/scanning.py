@@ -20,10 +20,22 @@ from sessionloom.sources.scan import CorpusScan, scan_messages, scan_sessions
 SCANNED = tuple(ENCODERS)  # a conversation's id decides in which of these it is written
 
 
+SHARDS = 256  # folders that transcripts are dealt to below the others
+
+
 def _write(lines: DataFrame, keys: list[str], folder: str) -> None:
-    """One file per transcript, in `<key>=<value>` folders; a transcript's lines are written by one task, in order."""
-    placed = lines.repartition(*keys).sortWithinPartitions(*keys, "seq")
-    placed.select(*keys, F.col("raw").alias("value")).write.partitionBy(*keys).text(folder)
+    """One file per transcript, in `shard=<n>/<key>=<value>` folders, the last key innermost; a transcript's lines are
+    written by one task, in order.
+
+    A shard belongs to one task: the commit moves it as a whole, not file by file, and a listing takes up shards, not files.
+    Keys that can be NULL would be sorted again by the write, and the order of lines lost.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = lines.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})
+    dealt = named.withColumn("shard", F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int"), F.lit(0)))
+    folders = [*keys[:-1], "shard", keys[-1]]
+    placed = dealt.repartition(tasks, "shard").sortWithinPartitions(*folders, "seq")
+    placed.select(*folders, F.col("raw").alias("value")).write.partitionBy(*folders).text(folder)
 
 
 def _written(source: str, native_root: str) -> Dialect:
@@ -116,9 +128,10 @@ def custom_dialect(spark: SparkSession, folder: str) -> DataFrame:
     )
     events = table(spark, folder, "events")
     _write(events.select("user_id", F.col("event_id").alias("seq"), line.alias("raw")), ["user_id"], base)
-    roots = {ACTIVITY.id: base}
+    scan = CorpusScan(spark, ACTIVITY.id, base).kept(f"{base}-lines")
+    roots = {ACTIVITY.id: scan}
     rows = _with_messages(scan_sessions(spark, roots), scan_messages(spark, roots))
-    pointers = CorpusScan(spark, ACTIVITY.id, base).pointers().groupBy(F.col("session").alias("path")).agg(
+    pointers = scan.pointers().groupBy(F.col("session").alias("path")).agg(
         F.count("*").alias("pointers"), F.count_distinct("pointer").alias("targets")
     )
     return rows.join(pointers, "path", "left").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ class CorpusScan:
     Spark's file sources do not list files without a byte. Where those matter, pass
     an `inventory` of (path, size, modified), such as an object store's own: then
     an empty file is an empty session. Its paths name the store as Spark does.
+
+    Where files are many and small and more than one result is wanted, use `kept`.
     """
 
     def __init__(
@@ -40,6 +44,16 @@ class CorpusScan:
         parent = self.root.rsplit("/", 1)[0]
         self._where = [self.root, *(f"{parent}/{name}" for name in self._layout.beside)]
         self._how = {"recursive": True, "modified_since": modified_since}
+        self._kept: DataFrame | None = None
+
+    def kept(self, folder: str) -> CorpusScan:
+        """The same scan with its lines written to `folder` as a table now: the files of lines are listed and opened for
+        that alone, however many results are taken. The lines of many small files come to a few files of the table."""
+        lines, scan = self.lines(), copy(self)
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
+        lines.coalesce(tasks).write.parquet(folder)
+        scan._kept = self.spark.read.schema(lines.schema).parquet(folder)
+        return scan
 
     def files(self) -> DataFrame:
         """files(path, size, modified), each file once even where two layouts name it."""
@@ -56,6 +70,8 @@ class CorpusScan:
 
     def lines(self) -> DataFrame:
         """lines(path, seq, raw) of JSON-line files; plain-text transcripts are read whole instead."""
+        if self._kept is not None:
+            return self._kept
         return read_lines(self.spark, self._where, name_glob=self._layout.lines, choose=self._inside, **self._how)
 
     def plain_texts(self) -> DataFrame:
@@ -143,10 +159,15 @@ class CorpusScan:
         return sessions(self.files(), self.events(), self.dialect, self.root)
 
 
-def scan_sessions(spark: SparkSession, roots: dict[str, str], modified_since=None) -> DataFrame:
-    """Session rows of all dialects that have a root, in registry order."""
-    return union_all([CorpusScan(spark, s, roots[s], modified_since).sessions() for s in DIALECTS if s in roots])
+def _scans(spark: SparkSession, roots: dict[str, str | CorpusScan], modified_since) -> list[CorpusScan]:
+    given = [(s, roots[s]) for s in DIALECTS if s in roots]
+    return [r if isinstance(r, CorpusScan) else CorpusScan(spark, s, r, modified_since) for s, r in given]
+
+
+def scan_sessions(spark: SparkSession, roots: dict[str, str | CorpusScan], modified_since=None) -> DataFrame:
+    """Session rows of all dialects that have a root, or a scan made before, in registry order."""
+    return union_all([scan.sessions() for scan in _scans(spark, roots, modified_since)])
 
 
-def scan_messages(spark: SparkSession, roots: dict[str, str], modified_since=None) -> DataFrame:
-    return union_all([CorpusScan(spark, s, roots[s], modified_since).messages() for s in DIALECTS if s in roots])
+def scan_messages(spark: SparkSession, roots: dict[str, str | CorpusScan], modified_since=None) -> DataFrame:
+    return union_all([scan.messages() for scan in _scans(spark, roots, modified_since)])
