@@ -73,7 +73,9 @@ def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation written to a file in one of four dialects; sessions, launch labels and messages read back."""
     base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     _write(_encoded(table(spark, folder, "conversations")), ["source", "path"], base)
-    scans = [CorpusScan(spark, _written(s, root), f"{base}/source={s}") for s, (_, root) in ENCODERS.items()]
+    scans = [
+        CorpusScan(spark, _written(s, root), f"{base}/source={s}").kept(f"{base}-lines/{s}") for s, (_, root) in ENCODERS.items()
+    ]
     rows = _with_messages(union_all([s.sessions() for s in scans]), union_all([s.messages() for s in scans]))
     return rows.select(
         "source", "id", "parent", "is_subagent", "cwd", "first_message", "message_count", "own_kind",

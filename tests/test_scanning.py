@@ -47,3 +47,8 @@ def test_kept_scan_gives_the_same_results_and_opens_no_file_again(spark, tmp_pat
     given = {"codex": kept}
     assert rows(scan_sessions(spark, given)) == rows(kept.sessions()) and "codex" in DIALECTS
     assert rows(scan_messages(spark, given)) == rows(kept.messages())
+
+
+def test_corpus_files_opens_transcripts_for_their_lines_alone(spark):
+    plan = scanning.corpus_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FileScan text" not in plan and "FileScan parquet" in plan
