@@ -133,7 +133,7 @@ def attach_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attach_budget_phased(spark: SparkSession, folder: str) -> DataFrame:
-    """The same choice with the limit for folding so low that most orders are decided in phases."""
+    """The same choice with the limit for folding so low that orders are walked over ranges of rows, and chosen in phases where ranges cut them."""
     files = _item_files(spark, folder, F.col("l_orderkey"))
     kept = budget.within_budget(files, budget=60, fold_limit=2, checkpoint_dir=shared_folder(spark))
     return kept.select(F.col("session").alias("l_orderkey"), "kind", "path", "size", "kept")

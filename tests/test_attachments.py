@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import attachments as A
-from sessionloom.operators import snapshot
-from sessionloom.operators.budget import within_budget
+from sessionloom.operators import budget, snapshot
+from sessionloom.operators.budget import _walk, within_budget
 
 FILES = "session string, kind string, path string, size bigint"
 
@@ -44,6 +45,21 @@ def test_large_sessions_are_chosen_like_small_ones(spark, budget):
     assert chosen(within_budget(frame, budget, fold_limit=20)) == expected
 
 
+def test_only_sessions_that_a_range_boundary_cuts_are_chosen_in_phases(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(budget, "checkpoint_folder", lambda *_: str(tmp_path))
+    rows = [(f"s{i:03d}", "a", f"p{j:02d}", (i * j) % 41) for i in range(300) for j in range(30)]
+    found = chosen(within_budget(spark.createDataFrame(rows, FILES), 150, fold_limit=2))
+    assert found == greedy(rows, 150)
+    (work,) = tmp_path.glob("budget-*")
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < spark.read.parquet(f"{work}/phase-0").count() <= 30 * (slices - 1)
+
+
+def test_walk_keeps_what_was_spent_over_batches_and_files_without_a_size(spark):
+    batches = [pa.record_batch({"session": [None, None, "a"], "size": [5, 6, 6]}), pa.record_batch({"session": ["a", "a", "b"], "size": [None, 4, 9]})]
+    assert [b.column("kept").to_pylist() for b in _walk(10)(iter(batches))] == [[True, False, True], [None, True, True]]
+
+
 DELIMITERS = " \t\r\n\"'\\<>,)]"
 
 
