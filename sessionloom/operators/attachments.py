@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import WHITESPACE_CLASS, let, path_name, path_parent, path_stem, path_suffix
-from sessionloom.operators.budget import DEFAULT_BUDGET, FOLD_LIMIT, within_budget
+from sessionloom.operators.budget import DEFAULT_BUDGET, FOLD_LIMIT, within_budget, written
 from sessionloom.operators.joins import lookup
+from sessionloom.session import checkpoint_folder
 
 # What ends a path token, and where spilled output lives.
 _DELIMITERS = r"""[ \t\r\n"'\\<>,)\]]"""
@@ -153,14 +155,20 @@ def attach(
     fold_limit: int = FOLD_LIMIT,
     checkpoint_dir: str | None = None,
 ) -> DataFrame:
-    """attachments(session, path, reference, arcname, kind, size, outcome) with file, missing and skipped rows."""
+    """attachments(session, path, reference, arcname, kind, size, outcome) with file, missing and skipped rows.
+
+    What the pointers lead to is written once, and so is what the budget keeps; all outcomes are read from these."""
+    work = f"{checkpoint_folder(pointers.sparkSession, checkpoint_dir)}/attach-{uuid.uuid4().hex}"
     resolved = resolve_pointers(pointers, files, roots)
-    missing = resolved.where(F.col("real_path").isNull()).select("session", "pointer").distinct()
-    real = resolved.where(F.col("is_file") & inside(F.col("real_path"), F.col("_claim")))
-    found = real.groupBy("session", F.col("real_path").alias("path")).agg(
+    there = F.col("real_path").isNotNull()
+    followed = resolved.where(~there | (F.col("is_file") & inside(F.col("real_path"), F.col("_claim"))))
+    led = followed.groupBy("session", F.col("real_path").alias("path"), F.when(~there, F.col("pointer")).alias("gone")).agg(
         F.min_by(F.struct("kind", "pointer", "size"), F.struct("place", "pointer")).alias("_first")
-    ).select("session", "path", F.col("_first.kind").alias("kind"), F.col("_first.pointer").alias("reference"), F.col("_first.size").alias("size"))
-    chosen = within_budget(found, budget, fold_limit, checkpoint_dir)
+    ).select("session", "path", "gone", F.col("_first.kind").alias("kind"), F.col("_first.pointer").alias("reference"), F.col("_first.size").alias("size"))
+    met = written(led, f"{work}/met")
+    missing = met.where(F.col("path").isNull()).select("session", F.col("gone").alias("pointer"))
+    found = met.where(F.col("path").isNotNull()).drop("gone")
+    chosen = written(within_budget(found, budget, fold_limit, checkpoint_dir, stored=True), f"{work}/chosen")
     kept = archive_names(chosen.where("kept").drop("kept"))
     skipped = chosen.where(~F.col("kept")).select(
         "session", "path", "kind", "reference", "size", F.lit(None).cast("string").alias("arcname"), F.lit("skipped").alias("outcome")

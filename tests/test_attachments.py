@@ -124,6 +124,27 @@ def test_attach_outcomes(spark):
     assert totals == {"s1": (35, 3, 1, 1), "s2": (0, 0, 1, 0)}
 
 
+def test_outcomes_are_read_from_what_the_pointers_lead_to_once(spark):
+    place = "struct<phase:int,seq:int,at:int>"
+    pointers = spark.createDataFrame(
+        [("s", "/r/a", "k", (0, 0, 0)), ("s", "/r/./a", "k", (0, 1, 0)), ("s", "/r/b", "k", (0, 2, 0)), ("s", "/r/gone", "k", (0, 3, 0)), ("s", "/r/away", "k", (0, 4, 0)),
+         ("t", "/r/gone", "k", (0, 0, 0)), ("t", "/r//gone", "k", (0, 1, 0))],
+        f"session string, pointer string, kind string, place {place}",
+    )
+    files = spark.createDataFrame(
+        [("/r/a", "/r/a", True, 60), ("/r/b", "/r/b", True, 50), ("/r/away", "/else", True, 1)],
+        "path string, real_path string, is_file boolean, size bigint",
+    )
+    done = A.attach(pointers, files, A.fixed_roots([("/r", "/r")]), budget=100)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    found = {(r.session, r.reference, r.path, r.outcome) for r in done.collect()}
+    assert found == {
+        ("s", "/r/a", "/r/a", "file"), ("s", "/r/b", "/r/b", "skipped"), ("s", "/r/gone", None, "missing"),
+        ("t", "/r/gone", None, "missing"), ("t", "/r//gone", None, "missing"),
+    }
+
+
 def test_plain_name_equal_to_a_digest_name(spark):
     first, second = "/a/x.txt", "/b/x.txt"
     digest = hashlib.sha256(second.encode()).hexdigest()[:8]
