@@ -18,9 +18,12 @@ def safe_segment(value: Column) -> Column:
 
     def clean(plain: Column) -> Column:
         cleaned = F.btrim(F.regexp_replace(plain, _UNSAFE, "-"), F.lit("-"))
-        named = F.when(cleaned == "", "unknown").otherwise(cleaned)
         digest = F.left(F.sha2(plain.cast("binary"), 256), F.lit(8))
-        return F.when(named == plain, named).otherwise(F.concat(named, F.lit("--"), digest))
+
+        def told_apart(named: Column) -> Column:
+            return F.when(named == plain, named).otherwise(F.concat(named, F.lit("--"), digest))
+
+        return let(let(cleaned, lambda c: F.when(c == "", "unknown").otherwise(c)), told_apart)
 
     return let(strip(value), clean)
 

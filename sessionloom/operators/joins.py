@@ -20,8 +20,11 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequ
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = left.withColumn("_spread", F.when(no_key, F.xxhash64(*spread_by)).otherwise(F.lit(0).cast("bigint")))
-    return spread.join(right.withColumn("_spread", F.lit(0).cast("bigint")), [*keys, "_spread"], how).drop("_spread")
+    zero = F.lit(0).cast("bigint")
+    spread = left.withColumn("_spread", F.when(no_key, F.xxhash64(*spread_by)).otherwise(zero))
+    # A zero that is computed: a constant would be moved into a condition on the left side alone, and rows without a key dealt to one task.
+    same_spread = F.xxhash64(*keys).bitwiseAND(zero)
+    return spread.join(right.withColumn("_spread", same_spread), [*keys, "_spread"], how).drop("_spread")
 
 
 def same(left: Column, right: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.identity import redact_identity, redact_text
 from sessionloom.functions.naming import native_member, transcript_id
 from sessionloom.functions.secrets import REDACTION_VERSION
+from sessionloom.functions.text import let
 from sessionloom.operators import status as st
 from sessionloom.operators.snapshot import SOURCE_HASH_VERSION
 from sessionloom.sources.files import lossy_text
@@ -59,17 +60,19 @@ def redact_members(
 ) -> DataFrame:
     """members(session, member_name, text, redactions, …) from contents(session, member_name, content, …).
 
-    Transcripts and attachments are redacted in the row they are read in.
+    Transcripts and attachments are redacted in the row they are read in, decoded once.
     """
     others = [c for c in contents.columns if c != "content"]
-    done = contents.select(*others, redact_text(lossy_text(F.col("content")), salt, usernames, stoplist).alias("r"))
+    redacted = let(lossy_text(F.col("content")), lambda text: redact_text(text, salt, usernames, stoplist))
+    done = contents.select(*others, redacted.alias("r"))
     return done.select(
         *others, F.col("r.text").alias("text"), (F.col("r.secrets") + F.col("r.identity")).alias("redactions")
     )
 
 
 def transcript_contents(transcripts: DataFrame) -> DataFrame:
-    return transcripts.select(F.col("path").alias("session"), native_member(F.col("path")).alias("member_name"), "content")
+    others = [c for c in transcripts.columns if c not in ("path", "content")]
+    return transcripts.select(F.col("path").alias("session"), native_member(F.col("path")).alias("member_name"), "content", *others)
 
 
 def attachment_contents(attachments: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,10 +155,14 @@ def artifacts(
     return described.withColumns({"manifest": manifest(F.lit(contributor), policy), "metadata": object_metadata()})
 
 
-def bundle_members(described: DataFrame, members: DataFrame, batch_id: int) -> DataFrame:
-    """bundle_members(key, member_name, content, batch_id): everything published for each bundle."""
-    keys = described.select(F.col("path").alias("session"), "key")
-    texts = members.join(keys, "session").select("key", "member_name", F.col("text").alias("content"))
+def bundle_members(described: DataFrame, members: DataFrame, dropped: DataFrame, batch_id: int) -> DataFrame:
+    """bundle_members(key, member_name, content, batch_id): everything published for each bundle.
+
+    `members` are those of all candidates, with the key of their bundle; `dropped` names the sessions that are not
+    published. These are few, so the texts of the others are copied where they lie and not dealt by session.
+    """
+    published = members.join(dropped.select("session"), "session", "left_anti")
+    texts = published.select("key", "member_name", F.col("text").alias("content"))
     manifests = described.select("key", F.lit(MANIFEST_MEMBER).alias("member_name"), F.col("manifest").alias("content"))
     return texts.unionByName(manifests).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
 
@@ -183,5 +190,7 @@ def upload_results(described: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def bundle_sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("key").agg(F.sum(F.octet_length("content")).alias("bundle_bytes"))
+def bundle_sizes(described: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, bundle_bytes) from members(key, octets) and the manifests; no text is read for it."""
+    manifests = described.select("key", F.octet_length("manifest").alias("octets"))
+    return members.select("key", "octets").unionByName(manifests).groupBy("key").agg(F.sum("octets").alias("bundle_bytes"))

@@ -15,6 +15,11 @@ def _path(doc: DataFrame) -> DataFrame:
     return doc.withColumn("path", F.format_string("/d/%d.jsonl", "doc_id"))
 
 
+def _described(docs: DataFrame) -> DataFrame:
+    """What a session row needs of a document; the text is cut where it is read, not behind a join that would shuffle it."""
+    return docs.select("path", "doc_id", "source", F.left("text", F.lit(20)).alias("first_message"))
+
+
 def incremental_sync(spark: SparkSession, folder: str) -> DataFrame:
     """First half of the documents, then the other half plus changes: what is published when, and under which hash."""
     docs = _path(table(spark, folder, "documents"))
@@ -28,11 +33,11 @@ def incremental_sync(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     def describe(changed: DataFrame) -> DataFrame:
-        rows = docs.join(changed, "path")
+        rows = _described(docs).join(changed, "path")
         return rows.select(
             F.lit("codex").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
             F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
-            F.left("text", F.lit(20)).alias("first_message"), F.col("source").alias("project_label"),
+            "first_message", F.col("source").alias("project_label"),
             F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
         )
 
@@ -73,10 +78,10 @@ def sync_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
         return rows.select("path", (F.col("n_chars") + later).alias("size"), F.timestamp_seconds(1_700_000_000 + later).alias("modified"))
 
     def describe(changed: DataFrame) -> DataFrame:
-        return docs.join(changed, "path").select(
+        return _described(docs).join(changed, "path").select(
             F.lit("codex").alias("source"), F.floor(F.col("doc_id") / 2).cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
             F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
-            F.left("text", F.lit(20)).alias("first_message"), F.lit("app").alias("project_label"),
+            "first_message", F.lit("app").alias("project_label"),
             F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
         )
 
@@ -116,10 +121,10 @@ def sync_partial_write(spark: SparkSession, folder: str) -> DataFrame:
         return rows.select("path", (F.col("n_chars") + round_no).alias("size"), F.timestamp_seconds(F.lit(1_700_000_000 + round_no)).alias("modified"))
 
     def describe(changed: DataFrame) -> DataFrame:
-        return docs.join(changed, "path").select(
+        return _described(docs).join(changed, "path").select(
             F.lit("codex").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
             F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
-            F.left("text", F.lit(20)).alias("first_message"), F.col("source").alias("project_label"),
+            "first_message", F.col("source").alias("project_label"),
             F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
         )
 
@@ -151,10 +156,10 @@ def publish_results(spark: SparkSession, folder: str) -> DataFrame:
         return rows.select("path", F.col("n_chars").cast("bigint").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("modified"))
 
     def describe(changed: DataFrame) -> DataFrame:
-        return docs.join(changed, "path").select(
+        return _described(docs).join(changed, "path").select(
             F.lit("codex").alias("source"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"),
             F.lit(False).alias("is_subagent"), "path", F.col("size").alias("size_bytes"), "modified", F.lit(1).alias("message_count"),
-            F.left("text", F.lit(20)).alias("first_message"), F.col("source").alias("project_label"),
+            "first_message", F.col("source").alias("project_label"),
             F.lit(None).cast("string").alias("project_directory"), F.lit("human").alias("own_kind"),
         )
 
